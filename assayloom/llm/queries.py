@@ -18,6 +18,25 @@ URL_RULES = (
 )
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan_secrets
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind"] != "novel")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans")
+    )
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import filter_urls
 
@@ -39,8 +58,27 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bytebpe import bpe_round_trip
+
+    made = bpe_round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokencount import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return counted.select("*", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_url_filter, op7_quality_rules, op8_decontamination)
+    f.__name__: f for f in (
+        op3_secret_scan, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
+    )
+
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
