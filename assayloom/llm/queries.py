@@ -44,6 +44,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlfilter import filter_urls
 
@@ -83,7 +89,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash, op3_secret_scan, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
+        op2_simhash, op3_secret_scan, op5_language_id, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
     )
 
 }
