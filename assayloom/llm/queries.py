@@ -24,6 +24,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -89,7 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_simhash, op3_secret_scan, op5_language_id, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
+        op1_suffix_dedup, op2_simhash, op3_secret_scan, op5_language_id, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
     )
 
 }
