@@ -8,7 +8,6 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 #: A-Z to a-z, everything else as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -57,12 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(T._parse_datatype_string(ddl) if not isinstance(ddl, T.StructType) else ddl)
-
-
 def with_columns(batch: pa.RecordBatch, schema: pa.Schema, **columns) -> pa.RecordBatch:
     """The batch's columns that schema names, with the given ones put in their place."""
     arrays = []

@@ -50,6 +50,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify_languages
 
@@ -95,7 +101,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_suffix_dedup, op2_simhash, op3_secret_scan, op5_language_id, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
+        op1_suffix_dedup, op2_simhash, op3_secret_scan, op4_katz_scores, op5_language_id, op6_url_filter, op7_quality_rules, op8_decontamination, op9_byte_bpe, op10_token_counts,
     )
 
 }
