@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import differential
+from . import combining, differential, shaping
 
-MODULES = (differential,)
+MODULES = (differential, shaping, combining)
 
 
 def queries() -> dict:

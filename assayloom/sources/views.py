@@ -94,6 +94,6 @@ sco AS (
   FROM embeddings),
 gst AS (
   SELECT set_name, gene_symbol FROM (
-    SELECT p_type AS set_name, p_brand AS gene_symbol, count(*) AS n, avg(count(*)) OVER (PARTITION BY p_type) AS mean FROM part GROUP BY ALL)
+    SELECT *, avg(n) OVER (PARTITION BY set_name) AS mean FROM (SELECT p_type AS set_name, p_brand AS gene_symbol, count(*) AS n FROM part GROUP BY ALL))
   WHERE n > mean)
 """
