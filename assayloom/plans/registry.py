@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import combining, differential, shaping
+from . import combining, differential, networks, shaping
 
-MODULES = (differential, shaping, combining)
+MODULES = (differential, shaping, combining, networks)
 
 
 def queries() -> dict:
