@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -58,7 +59,7 @@ class PreTokens:
         return [len(e) for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
-_WORKER: dict[tuple, tuple[PreTokens, dict[str, int]]] = {}
+_WORKER: dict[str, tuple[PreTokens, dict[str, int]]] = {}
 
 
 def frequent_lengths(docs: DataFrame, tokens: PreTokens, sample_docs: int, entries: int) -> dict[str, int]:
@@ -89,7 +90,7 @@ def count_tokens(
     held = docs.sparkSession.sparkContext.broadcast(
         (definition, frequent_lengths(docs, PreTokens(definition), sample_docs, entries))
     )
-    key = (tokenizer_path, held.id)
+    key = uuid.uuid4().hex  # of this call's table in the workers
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
