@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import combining, differential, networks, shaping
+from . import combining, differential, models, networks, shaping
 
-MODULES = (differential, shaping, combining, networks)
+MODULES = (differential, shaping, combining, networks, models)
 
 
 def queries() -> dict:
