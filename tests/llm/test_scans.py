@@ -1,0 +1,205 @@
+"""Secrets, quality, decontamination, urls against brute force."""
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from corpus import frame, prose, rows, words
+
+from assayloom.llm import decontaminate, quality, secrets, urlfilter
+from assayloom.llm.queries import QUERIES, URL_RULES
+
+DIR = "/root/testdata/sf0.001"
+
+
+def brute_secrets(text):
+    text = text or ""
+    out = []
+    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", text, re.ASCII):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_secret_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    for r in QUERIES["op3_secret_scan"](spark, DIR).collect():
+        want = brute_secrets(texts[r["doc_id"]])
+        told = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        n = collections.Counter(k for *_, k in want)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (n["assign"], n["access"], n["hex"])
+        assert set(filter(None, told.split(","))) <= set(r["spans"].split(","))
+
+
+def test_secrets_on_odd_rows(spark):
+    found = secrets.scan_secrets(frame(spark)).collect()
+    assert len(found) == len(rows())
+    texts = {x[0]: x[1] for x in rows() if x[0] is not None}
+    for r in found:
+        if r["doc_id"] is not None:
+            base = [(s["start"], s["end"], s["kind"]) for s in r["spans"] if s["kind"] != "novel"]
+            assert base == [(s, e, k) for s, _, e, k in brute_secrets(texts[r["doc_id"]])]
+    novel = {texts[r["doc_id"]][s["start"] : s["end"]] for r in found if r["doc_id"] is not None for s in r["spans"] if s["kind"] == "novel"}
+    assert "Zx81QpLm72VtRn45Ksd0aa" in novel
+
+
+def test_novelty_measures_repetition():
+    n = secrets.Novelty()
+    assert n.share("auth value ", "q8Zr4Xw1Tn7Lp3Vd9Ks2") > 0.8 > n.share("q8Zr4Xw1Tn7Lp3Vd9Ks2 and again ", "q8Zr4Xw1Tn7Lp3Vd9Ks2")
+
+
+def test_redaction(spark):
+    out = {r["doc_id"]: r for r in secrets.scan_secrets(frame(spark, [x for x in rows() if x[0] is not None]), redact=True).collect()}
+    for x in rows():
+        if x[0] is not None:
+            text = out[x[0]]["text"]
+            assert (text is None) == (x[1] is None) and not brute_secrets(text)
+            if not brute_secrets(x[1]) and "bearer" not in (x[1] or ""):
+                assert text == x[1]
+            elif text is not None:
+                assert out[x[0]]["n_chars"] == len(text)
+
+
+def brute_quality(text):
+    text = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    lines = text.split("\n")
+    dup = sum(1 for i, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x) and x in lines[:i])
+    grams = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    hit = [False] * len(w)
+    for i in range(len(w) - 2):
+        if grams[tuple(w[i : i + 3])] >= 2:
+            hit[i : i + 3] = [True] * 3
+    return [len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, sum(hit)]
+
+
+def test_quality_counts(spark):
+    for x in rows():
+        assert quality.describe(x[1])[0] == brute_quality(x[1])
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    for r in QUERIES["op7_quality_rules"](spark, DIR).collect():
+        n = brute_quality(texts[r["doc_id"]])
+        assert [r[c] for c in quality.COUNTS] == n
+        assert r["base_failed"] == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r["base_failed"] and r["kept"])
+
+
+def test_quality_verdicts_hold_on_other_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    # documents are judged by trees that learned from the other half
+    learned, other = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs, learned).where("NOT base_failed").collect()}
+    pairs = [(kept[r["doc_id"]], r["quality"] == 1) for r in other.collect() if r["doc_id"] in kept]
+    assert len(pairs) > 100 and sum(k for k, good in pairs if good) / sum(g for _, g in pairs) > 0.98
+    assert sum(not k for k, good in pairs if not good) / max(1, sum(not g for _, g in pairs)) > 0.9
+
+
+def test_trees_are_monotonic():
+    g = np.random.default_rng(0)
+    x = g.random((800, 3))
+    y = ((x[:, 0] + 0.3 * np.sin(12 * x[:, 1]) + g.normal(0, 0.2, 800)) > 0.5).astype(float)
+    model = quality.fit_trees(x, y, [1, 0, -1])
+    grid = np.tile(g.random((50, 3)), (40, 1, 1))
+    for j, s in ((0, 1), (2, -1)):
+        line = grid.copy()
+        line[:, :, j] = np.linspace(0, 1, 40)[:, None]
+        p = model.predict(line.reshape(-1, 3)).reshape(40, 50)
+        assert (s * np.diff(p, axis=0) >= -1e-12).all()
+    assert ((model.predict(x) > 0.5) == (y > 0.5)).mean() > 0.8
+
+
+def test_quality_without_labels(spark):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    out = quality.judge_quality(frame(spark), labels).collect()
+    assert len(out) == len(rows()) and all(r["quality_score"] is None and r["kept"] == (not r["base_failed"]) for r in out)
+    assert quality.judge_quality(frame(spark, []), labels).count() == 0
+    assert quality.judge_quality(frame(spark), labels, keep_columns=True).columns == frame(spark).columns
+
+
+def fold(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_hits(text, items):
+    w = fold(text)
+    hit, found = [False] * len(w), set()
+    for key, item in items:
+        v = fold(item)
+        windows = [tuple(v[i : i + 13]) for i in range(len(v) - 12)] if len(v) >= 13 else [tuple(v)] if v else []
+        for q in set(windows):
+            for i in range(len(w) - len(q) + 1):
+                if tuple(w[i : i + len(q)]) == q:
+                    hit[i : i + len(q)] = [True] * len(q)
+                    found.add(str(key))
+    return len(w), sum(hit), found
+
+
+def test_decontamination_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    items = [tuple(r) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    for r in QUERIES["op8_decontamination"](spark, DIR).collect():
+        n, hit, found = brute_hits(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, hit, len(found))
+        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+
+
+@pytest.mark.parametrize("per", [200_000, 40])
+def test_decontamination_with_few_stems(spark, per):
+    r = random.Random(4)
+    stems = ("a", "b")
+    items = [(i, prose(r, r.randrange(0, 30), stems)) for i in range(25)] + [(30, "a b"), (31, None), (32, "a B. a"), (30, "b b a")]
+    docs = [(i, prose(r, 80, stems), None, None, 1, None, None) for i in range(20)] + rows()[-20:]
+    got = decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id bigint, text string"), words_per_automaton=per).collect()
+    want = sorted((str(d[0]), *brute_hits(d[1], items)[:2], ",".join(sorted(brute_hits(d[1], items)[2]))) for d in docs)
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_hit"], ",".join(x["items"])) for x in got) == want
+
+
+def test_cleaning(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    text = " ".join(f"z{i}" for i in range(500)) + ". Q3 " + item.upper() + "! " + "tail " * 50
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = frame(spark, [(1, text, None, None, len(text), None, None), (2, item + " few words", None, None, 3, None, None), (3, None, None, None, None, None, None)])
+    out = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench, clean="spans").collect()}
+    assert set(out) == {1, 3} and "Q5" not in out[1]["text"] and "z499. Q3 ! tail" in out[1]["text"] and out[1]["n_chars"] == len(out[1]["text"])
+    empty = decontaminate.decontaminate(docs, bench.where("item_id > 5")).collect()
+    assert not any(r["contaminated"] for r in empty)
+
+
+def test_urls(spark):
+    urls = ["http://example.org/en/1", "https://a.EXAMPLE.org/en/100?x#y", "http://example.org/es/", "http://xexample.org/es/", "http://example.org", "x://b.com/fr/1", "http://b.com/de/", "http://b.com/deep", "net", None, "a://h?q/x", "http://COM/fr/", "://"]
+    rules = [*URL_RULES, ("allow", "a.b", ""), ("block", "b", "/x/y"), ("allow", "b", "/x/y")]
+    got = urlfilter.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(None, urls[0])], "page_id bigint, url string"), rules, rules_per_trie=2).collect()
+    for r in got:
+        url = urls[r["page_id"] or 0] or ""
+        host, path = "", ""
+        if "://" in url:
+            rest = re.split(r"[?#]", url.split("://", 1)[1])[0]
+            host, _, path = rest.partition("/")
+            host, path = host.lower(), "/" + path if "/" in rest else ""
+        fits = [(len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, best and best[2], best[3] if best else "allow")
+
+
+def test_trie_against_all_rules():
+    r = random.Random(8)
+    rules = {("".join(r.choice("ab") + "." for _ in range(r.randrange(1, 3)))[:-1], r.choice(["", "/", "/a/", "/a", "/a/b", "/ab/", "/a/bb"])): r.choice(["allow", "block"]) for _ in range(30)}
+    trie = urlfilter.RuleTrie([(v, h, p) for (h, p), v in rules.items()])
+    for _ in range(3000):
+        host = ".".join(r.choice("ab") for _ in range(r.randrange(1, 5)))
+        path = "".join(r.choice(["/", "a", "b"]) for _ in range(r.randrange(5)))
+        path = path and "/" + path
+        fits = [(len(h + p), len(h), h + p) for h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        got = trie.match(host, path)
+        assert (got and got[:3]) == max(fits, default=None)
+
+
+assert words("A b") == ["a", "b"]
