@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import zscore
 from ..operators import decompose as D
 from ..operators import linear as L
 from ..operators import resample as R
@@ -269,7 +270,108 @@ def align_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(runs.groupBy("program").agg(F.avg("similarity").alias("mean_similarity"), F.avg((F.col("similarity") >= 0.5).cast("double")).alias("match_rate")), 4)
 
 
+def decompose_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endmembers of three methods on the score matrix, a task for each, with the residual they leave."""
+    x = spark.sparkContext.broadcast(_scores(spark, sf_dir).to_numpy())
+
+    def kernel(i: int) -> list[tuple]:
+        picked = [lambda: D.spa(x.value, 4), lambda: D.vca(x.value, 4, 1), lambda: D.n_findr(x.value, 4, 1)][i]()
+        e = x.value[picked]
+        return [(["spa", "vca", "n_findr"][i], len(set(picked)), float(np.linalg.norm(x.value - D.fcls(e, x.value) @ e)), float(np.linalg.norm(x.value - D.ucls(e, x.value) @ e)))]
+
+    return rounded(D.seeds(spark, kernel, 3, "method string, n bigint, fcls_residual double, ucls_residual double"), 4)
+
+
+def decompose_unmix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals for several numbers of endmembers, and the one at their knee."""
+    k, found = D.unmix_sizes(_scores(spark, sf_dir).to_numpy(), 2, 7)
+    return spark.createDataFrame([(2 + i, round(r, 4), 2 + i == k) for i, r in enumerate(found)], "k bigint, residual double, chosen boolean")
+
+
+def decompose_nmf_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cophenetic correlation of the runs' co-assignments for each k, a task for each."""
+    x = spark.sparkContext.broadcast(np.power(2.0, np.clip(_scores(spark, sf_dir).to_numpy()[:120], -6, 6)))
+
+    def kernel(i: int) -> list[tuple]:
+        runs = np.array([D.nmf(x.value, 2 + i, s, 150)["w"].argmax(1) for s in range(5)])
+        return [(2 + i, D.cophenetic(runs))]
+
+    return rounded(D.seeds(spark, kernel, 4, "k bigint, cophenetic double"), 4)
+
+
+def decompose_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stability of components on shuffled matrices, an iteration per task."""
+    x = spark.sparkContext.broadcast(_scores(spark, sf_dir).to_numpy())
+    return rounded(D.seeds(spark, lambda i: [(i, D.archetype_null(x.value, 3, i))], 16, "iteration bigint, max_stability double"), 4)
+
+
+def bench_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted sources against what ICA finds in their mixtures, a task per seed."""
+
+    def kernel(i: int) -> list[tuple]:
+        from ..functions.rng import stream
+
+        g = stream(i, "planted")
+        truth = g.laplace(size=(200, 3))
+        found = D.fast_ica(g.normal(size=(40, 3)) @ truth.T + 0.05 * g.normal(size=(40, 200)), 3, i)["loadings"]
+        return [(i, a, b, c) for a, b, c in D.recovery(truth, found)]
+
+    return rounded(D.seeds(spark, kernel, 4, "seed bigint, planted bigint, found bigint, cosine double"), 4)
+
+
+def score_modules_pc1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-component scores of every module: z-scores of its genes, missing ones zero."""
+    genes = effective_rows(spark, sf_dir).groupBy("sample_id", "gene_symbol").agg(F.avg("abundance").alias("v"))
+    z = genes.withColumn("z", zscore("v", "gene_symbol")).join(modules(spark, sf_dir), "gene_symbol")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="sample_id", columns="gene_symbol", values="z").sort_index().sort_index(axis=1)
+        return pd.DataFrame({"module": key[0], "sample_id": wide.index, "score": D.first_component(wide.to_numpy(float))})
+
+    return rounded(z.select("module", "sample_id", "gene_symbol", "z").groupBy("module").applyInPandas(run, "module string, sample_id string, score double"), 4)
+
+
+def modules_soft_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scale-free fit of the genes' similarities for each power."""
+    from ..operators import network as G
+
+    e = G.pairwise(effective_rows(spark, sf_dir), "gene_symbol", "sample_id", "abundance", [])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*rows["f1"], *rows["f2"]})
+        at = {f: i for i, f in enumerate(names)}
+        s = np.eye(len(names))
+        for f1, f2, r in zip(rows["f1"], rows["f2"], rows["r"], strict=True):
+            s[at[f1], at[f2]] = s[at[f2], at[f1]] = r
+        chosen, fits = D.soft_power(s, int(rows["n"].max()))
+        return pd.DataFrame([(p, *D.scale_free(np.abs(s) ** p), p == chosen, fits) for p in range(1, 11)], columns=["power", "r2", "slope", "chosen", "fits"])
+
+    return rounded(e.groupBy(F.lit(1).alias("_all")).applyInPandas(run, "power bigint, r2 double, slope double, chosen boolean, fits boolean"), 4)
+
+
+def axes_tree_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of resampled trees with each clade of the cohorts' tree, a task per replicate."""
+    s = views.scores(spark, sf_dir).withColumn("c", F.concat("cohort", F.lit("_"), F.pmod("sample_id", F.lit(2))))
+    held = spark.sparkContext.broadcast(s.select("c", *(f"s{i}" for i in range(1, 9))).orderBy("sample_id").toPandas())
+
+    def tree(rows: pd.DataFrame) -> list:
+        x = rows.groupby("c").mean().sort_index().to_numpy()
+        return D.upgma(np.linalg.norm(x[:, None] - x[None], axis=2))
+
+    def kernel(i: int) -> list[tuple]:
+        from ..functions.rng import stream
+
+        rows = held.value
+        again = tree(rows.iloc[stream(7, i).integers(0, len(rows), len(rows))])
+        n = rows["c"].nunique()
+        return [(step, ",".join(map(str, sorted(c))), hit) for step, (c, hit) in enumerate(zip(D.clades(tree(rows), n), D.clade_support(tree(rows), [again], n), strict=True))]
+
+    runs = D.seeds(spark, kernel, 10, "step bigint, leaves string, hit double")
+    return rounded(runs.groupBy("step", "leaves").agg(F.avg("hit").alias("support")))
+
+
 _FUNCTIONS = (
+    decompose_endmembers, decompose_unmix_sizes, decompose_nmf_consensus, decompose_null, bench_recovery, score_modules_pc1, modules_soft_power, axes_tree_support,
     ols_simple, ols_adjusted, residuals, mixed_models, limma_plain, limma_trend, limma_robust, limma_treat, deqms, msqrob, msqrob_robust, posthoc_sidak, posthoc_tukey, posthoc_dunnett, paired_ancova, detectability,
     null_calibration, bootstrap_protein, bootstrap_module, ratio_effects, ratio_test, gsea, decompose_ica, decompose_nmf, decompose_unmix, decompose_mnar, decompose_variance, network_influence, modules_discover,
     axes_tree, align_project, align_bootstrap,

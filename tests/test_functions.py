@@ -108,6 +108,42 @@ def test_tree():
     assert decompose.newick(merges, list("abcd")) == "((a:1,b:1):3.5,(c:2,d:2):2.5);"
 
 
+def test_more_kernels():
+    g = np.random.default_rng(4)
+    e = np.eye(3) + 0.1
+    x = np.vstack([e, g.dirichlet(np.ones(3) * 2, 40) @ e])
+    for pick in (decompose.vca(x, 3, 0), decompose.n_findr(x, 3, 0)):
+        assert sorted(pick) == [0, 1, 2]
+    assert decompose.ucls(e, x) @ e == pytest.approx(x, abs=1e-6)
+    merges = decompose.upgma(np.array([[0, 1, 4], [1, 0, 4], [4, 4, 0]], float))
+    other = decompose.upgma(np.array([[0, 4, 1], [4, 0, 4], [1, 4, 0]], float))
+    assert decompose.clade_support(merges, [merges, other], 3) == [0.5, 1.0]
+    assert decompose.nearest_pairs([("a", 10), ("b", 12)], [("x", 12), ("y", 11)], 3) == [("a", "y"), ("b", "x")]
+    with pytest.raises(ValueError):
+        decompose.nearest_pairs([("a", 10)], [("x", 20)], 3)
+    same = np.array([[0, 0, 1, 1], [1, 1, 0, 0]])
+    assert decompose.cophenetic(same) == pytest.approx(1.0)
+    z = g.normal(size=(30, 1)) @ np.ones((1, 4)) + 0.01 * g.normal(size=(30, 4))
+    assert abs(np.corrcoef(decompose.first_component(z), z.mean(1))[0, 1]) > 0.999
+
+
+def test_adapters(spark, tmp_path):
+    from assayloom.sources import adapters
+
+    p = tmp_path / "long.csv"
+    p.write_text(";".join(adapters.LONG_EXPORT) + "\nP1_pre;1;OID1;Q1;GENE;0;Onc;L1;PL1;PASS;1.0;0.50;Plate control;PASS\nCONTROL_1;2;OID1;Q1;GENE;0;Onc;L1;PL1;WARN;1.0;NaN;Plate control;PASS\n")
+    m, s = adapters.long_export(spark, str(p))
+    rows = {r["sample_id"]: r for r in m.collect()}
+    assert rows["P1_pre"]["below_lod"] and rows["P1_pre"]["abundance"] == 0.5 and rows["CONTROL_1"]["dropped_by_qc"]
+    assert {tuple(r) for r in s.collect()} == {("P1_pre", "P1", "pre", False), ("CONTROL_1", None, None, True)}
+    p.write_text(p.read_text().replace("Plate control", "Intensity", 1))
+    with pytest.raises(ValueError):
+        adapters.long_export(spark, str(p))
+    raw = spark.createDataFrame([("Mean", "1", "1", "1", "1"), ("G1", "0.5", "9", "NA", "3")], ["Gene", "S1 Log Ratio", "S1 Unshared Log Ratio", "S2 Log Ratio", "Pool Log Ratio"])
+    got = {(r["sample_id"], r["abundance"], r["dropped_by_qc"]) for r in adapters.log_ratio_matrix(raw).collect()}
+    assert got == {("S1", 0.5, False), ("S2", None, True)}
+
+
 def test_centralities():
     path = np.zeros((4, 4))
     for i in range(3):
