@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import chunks, with_columns
 
 #: Words are runs of other characters than U+0000-2F, 3A-60 and 7B-7F, after A-Z became a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -215,7 +215,7 @@ def decontaminate(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(out)
-        for b in batches:
+        for b in (part for batch in batches for part in chunks(batch, at, 2_000_000)):
             texts = b.column(at).to_pylist()
             words = [item_words(t) for t in texts]
             hits, items = [np.zeros(len(w), bool) for w in words], [set() for _ in words]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import chunks, with_columns
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -181,7 +181,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
     )
 
     def features(batches):
-        for b in batches:
+        for b in (part for batch in batches for part in chunks(batch, 0, 4_000_000)):
             yield pa.RecordBatch.from_arrays(
                 [b.column(1), pa.array([describe(t)[1] for t in b.column(0).to_pylist()], pa.list_(pa.float64()))],
                 names=["quality", "x"],
@@ -234,7 +234,7 @@ def judge_quality(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, trees = to_arrow_schema(out), model.value
-        for b in batches:
+        for b in (part for batch in batches for part in chunks(batch, at, 4_000_000)):
             found = [describe(t) for t in b.column(at).to_pylist()]
             counts = np.array([c for c, _ in found], np.int64).reshape(-1, 5)
             failed = (counts[:, 0] < 50) | (100 * counts[:, 4] > 50 * counts[:, 0])

@@ -9,7 +9,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import chunks, with_columns
 
 #: Kinds in their order of report; "novel" spans come from the compression test.
 KINDS = ("assign", "access", "hex", "novel")
@@ -125,7 +125,7 @@ def scan_secrets(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, novelty = to_arrow_schema(out), Novelty()
-        for b in batches:
+        for b in (part for batch in batches for part in chunks(batch, at, 4_000_000)):
             texts = b.column(at).to_pylist()
             found = []
             for t in texts:
