@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: A-Z to a-z, everything else as it is.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[str] = []
+_PATHS: dict[int, str] = {}  # of the frames that staged() gave out
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,17 +40,38 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     if not _STAGED:
         atexit.register(release, spark)
     _STAGED.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # what this write shuffles is done with when it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # and what earlier steps shuffled, where nothing refers to it any more
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for f in frames:
+        path = _PATHS.pop(id(f), None)
+        if path in _STAGED:
+            _delete(f.sparkSession, path)
+            _STAGED.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that staged() has written."""
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         while _STAGED:
-            path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, _STAGED.pop())
     except Exception:  # the JVM may already be gone when Python ends
         _STAGED.clear()
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import chunks, dropped, staged
 
 #: Words are kept apart by space and U+0009-0D; A-Z count as a-z.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -234,12 +234,15 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, k: int = 25, hops
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     reach = min_words - k
     found = staged(anchors(source, k, reach + 1), "anchors")
-    shared = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    # a table of its own, so that the join below has exchanges of its own and Spark can split a key that is everywhere
+    shared = staged(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared")
     places = found.join(shared, "key").select("doc_id", "pos")
     rows = staged(suffixes(source, places, k, reach), "suffixes")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(tasks, *_SUFFIX).sortWithinPartitions(*_SUFFIX)
+    dropped(found, shared)
     seen = staged(_matches(dealt, k, min_words, hops, True), "matches")
+    dropped(rows)
     edges = seen.where("edge IS NOT NULL").select("edge.*").distinct().repartition(1).sortWithinPartitions(*_SUFFIX)  # some rows of each range
     spans = seen.where("edge IS NULL").unionByName(_matches(edges, k, min_words, hops, False)).select("doc_id", "start", "end", "other")
     by_doc = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
