@@ -66,6 +66,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def measured(text: str, start: int, end: int, novelty: Novelty, around: int = 160) -> float:
+    """Novelty of a stretch of a text after what stands around it."""
+    return novelty.share(text[max(0, start - around) : start] + text[end : end + around], text[start:end])
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float, around: int = 160):
     """Spans of sensitive context that overlap no taken one, hold letters and digits, and don't compress."""
     low = text.lower()
@@ -81,8 +86,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty,
             continue
         if any(s < end and start < e for s, e, _ in taken):
             continue
-        context = text[max(0, start - around) : start] + text[end : end + around]
-        share = novelty.share(context, word)
+        share = measured(text, start, end, novelty, around)
         if share >= least:
             out.append((start, end, "novel", share))
     return out
@@ -103,8 +107,9 @@ def scan_secrets(
 ) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex (long) and spans, an array of (kind, start, end, novelty).
 
-    Spans are in code points, the end exclusive, by start and then kind. Base spans have no novelty figure and always
-    stay; "novel" ones were measured against their surroundings and the identifier dictionary. redact: return docs' own
+    Spans are in code points, the end exclusive, by start and then kind. Every candidate
+    is measured against its surroundings and the identifier dictionary; base spans stay whatever their novelty, further
+    ones ("novel") are reported from `least_novelty` on. redact: return docs' own
     columns instead, with every span replaced by `mark` (n_chars follows where there is such a column); no row goes.
 
     Each text is scanned whole and by itself: no shuffle, nothing to skew. Null text counts as empty (with redact it
@@ -130,7 +135,7 @@ def scan_secrets(
             found = []
             for t in texts:
                 base = base_spans(t or "")
-                spans = [(*x, None) for x in base] + novel_spans(t or "", base, novelty, least_novelty)
+                spans = [(*x, measured(t, x[0], x[1], novelty)) for x in base] + novel_spans(t or "", base, novelty, least_novelty)
                 found.append(sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
             if redact:
                 new = [t and redacted(t, [x[:2] for x in f], mark) for t, f in zip(texts, found, strict=True)]
