@@ -39,6 +39,11 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts))
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Doubles rounded to 28 bits after the leading one (relative error under 2e-9): three bytes less on their way."""
+    return ((np.asarray(x, float).view(np.uint64) + np.uint64(0x800000)) & ~np.uint64(0xFFFFFF)).view(float)
+
+
 def _unpack(data: bytes) -> list[np.ndarray]:
     out = []
     for kind, shape, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(data)):
@@ -180,7 +185,7 @@ def _backoff(kind: int, bucket: int, rows: list[tuple[int, bytes]]):
     weight = np.log10(np.maximum(1 - upper, 1e-12) / np.maximum(1 - lower, 1e-12))[which]
     at = 0
     for (block, _), a in zip(rows, asked, strict=True):
-        yield kind, bucket, block, _pack(weight[at : at + len(a[0])]), None
+        yield kind, bucket, block, _pack(_short(weight[at : at + len(a[0])])), None
         at += len(a[0])
 
 
@@ -290,7 +295,7 @@ def katz_scores(docs: DataFrame, *, tokens_per_block: int = 500_000) -> DataFram
                 upper = np.bincount(h, discounted(pairs[seen], model.bigram), n) / np.maximum(histories, 1)
                 lower = np.bincount(h, model.word(words)[block.pair_word[seen]], n)
                 o = block.order
-                yield _batch(list(_dealt(3, k, buckets, block.histories[o], upper[o], lower[o])), _REQUEST)
+                yield _batch(list(_dealt(3, k, buckets, block.histories[o], _short(upper[o]), _short(lower[o]))), _REQUEST)
 
     weights = staged(_answered(_joined(blocks, counted).mapInArrow(shares, _REQUEST), _backoff), "weights")
 
