@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays: suffixes at minimiser positions, sorted, compared with neighbours, extended."""
+"""Repeated passages by sparse suffixes: windows around minimisers that documents share, grouped by their hash."""
 
 from __future__ import annotations
 
@@ -111,163 +111,110 @@ def anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, doc_id bigint, pos int")
 
 
-def suffixes(docs: DataFrame, places: DataFrame, k: int, reach: int) -> DataFrame:
-    """(key, right, left, doc_id, pos) for the places: `reach` words after the k-gram and before it (backwards).
+def _least(codes: np.ndarray, w: int) -> np.ndarray:
+    """The least code of each window of w, by doubling."""
+    out, size = codes, 1
+    while 2 * size <= w:
+        out, size = np.minimum(out[:-size], out[size:]), 2 * size
+    return np.minimum(out[: len(out) - (w - size)], out[w - size :])
 
-    Words stand there as 16-bit codes, big-endian so that binary order is the suffixes' order; 0 is beyond the text.
-    """
+
+def windows(docs: DataFrame, places: DataFrame, k: int, size: int) -> DataFrame:
+    """(code, doc_id, start): the hash of every window of `size` words whose least k-gram is one of the places."""
     by_doc = places.groupBy("doc_id").agg(F.collect_list("pos").alias("places"))  # a text's own places, no more
     rows = docs.join(by_doc, "doc_id").select("doc_id", "text", "places")
 
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, 1):
-                keys, rights, lefts, ids, at = [], [], [], [], []
+            for b in chunks(batch, 1, 2_000_000):
+                codes, ids, starts = [], [], []
                 for doc, text, where in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     words = word_codes(text)
-                    pos = np.unique(np.array(where, np.int64))
-                    short = np.zeros(len(words) + 2 * reach, ">u2")
-                    short[reach:-reach] = np.maximum(words >> np.uint64(48), np.uint64(1))
-                    views = np.lib.stride_tricks.sliding_window_view(short, reach)
-                    keys.append(gram_codes(words, k)[pos].view(np.int64))
-                    rights += [x.tobytes() for x in views[pos + k + reach]]
-                    lefts += [x.tobytes() for x in views[pos][:, ::-1]]
-                    ids.append(np.full(len(pos), doc, np.int64))
-                    at.append(pos.astype(np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))],
-                        names=["key", "right", "left", "doc_id", "pos"],
+                    if len(words) < size:
+                        continue
+                    grams = gram_codes(words, k)
+                    pos = np.array(where, np.int64)
+                    known = np.unique(grams[pos[pos < len(grams)]])  # rows of one doc_id may differ in length
+                    at = np.flatnonzero(np.isin(_least(grams, size - k + 1), known))
+                    codes.append(gram_codes(words, size)[at].view(np.int64))
+                    ids.append(np.full(len(at), doc, np.int64))
+                    starts.append(at.astype(np.int32))
+                if codes:
+                    made = pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x)) for x in (codes, ids, starts)], names=["code", "doc_id", "start"]
                     )
+                    yield from (made.slice(i, 200_000) for i in range(0, made.num_rows, 200_000))
 
-    return rows.mapInArrow(run, "key bigint, right binary, left binary, doc_id bigint, pos int")
+    return rows.mapInArrow(run, "code bigint, doc_id bigint, start int")
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of rows; a 0 never counts as common."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
+def _stretches(sorted_rows: DataFrame, size: int) -> DataFrame:
+    """Windows (doc_id, start, other), sorted within partitions, merged where they overlap or touch."""
 
+    def told(rows):
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] + size for r in rows], pa.int64()),
+                pa.array([r[2] + size - r[1] for r in rows], pa.int64()), pa.array([sorted(r[3]) for r in rows], pa.list_(pa.int64())),
+                pa.array([r[0] < min(r[3]) for r in rows], pa.bool_()),
+            ],
+            names=["doc_id", "start_word", "end_word", "n_words", "other_docs", "first_doc"],
+        )
 
-def _compared(t: pa.Table, k: int, hops: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a sorted table the best match with its nearest suffixes of other documents: (words, start,
-    end, other document). A row's neighbours are the next rows of other documents, up to `hops` on either side."""
-    n = t.num_rows
-    key, doc, pos = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "doc_id", "pos"))
-    right, left = (
-        np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(n, -1).astype(np.uint16) for c in ("right", "left")
+    def run(batches):
+        held = None  # document, first and last start, others
+        for b in batches:
+            if not b.num_rows:
+                continue
+            doc, start, other = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cuts = np.flatnonzero((doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + size)) + 1
+            out = []
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(doc)], strict=True):
+                others = set(np.unique(other[i:j]).tolist())
+                if held and held[0] == doc[i] and start[i] <= held[2] + size:
+                    held[2] = int(start[j - 1])
+                    held[3] |= others
+                else:
+                    if held:
+                        out.append(held)
+                    held = [int(doc[i]), int(start[i]), int(start[j - 1]), others]
+            yield told(out)
+        if held:
+            yield told([held])
+
+    return sorted_rows.select("doc_id", "start", "other").mapInArrow(
+        run, "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, other_docs array<bigint>, first_doc boolean"
     )
-    best, start, end = np.zeros(n, np.int64), pos.astype(np.int64), pos.astype(np.int64)
-    other = np.full(n, -1, np.int64)
-    change = np.flatnonzero((doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) + 1
-    group = np.zeros(n, np.int64)
-    group[change] = 1
-    group = np.cumsum(group)
-    firsts, lasts = np.concatenate(([0], change)), np.concatenate((change - 1, [n - 1]))
-    for step in [s for h in range(1, hops + 1) for s in (h, -h)]:
-        want = group + step
-        ok = (want >= 0) & (want < len(firsts))
-        rows = np.flatnonzero(ok)
-        partner = (firsts if step > 0 else lasts)[want[rows]]
-        same = (key[partner] == key[rows]) & (doc[partner] != doc[rows])
-        rows, partner = rows[same], partner[same]
-        if not len(rows):
-            continue
-        r, ln = _common(right[rows], right[partner]), _common(left[rows], left[partner])
-        total = r + ln + k
-        better = total > best[rows]
-        rows = rows[better]
-        best[rows], other[rows] = total[better], doc[partner][better]
-        start[rows], end[rows] = pos[rows] - ln[better], pos[rows] + k + r[better]
-    return best, start, end, other
-
-
-_SUFFIX = ("key", "right", "left", "doc_id", "pos")
-
-
-def _matches(sorted_rows: DataFrame, k: int, least: int, hops: int, borders: bool) -> DataFrame:
-    """Spans of partitions of sorted suffixes; with borders also the rows whose neighbours may be in the next one."""
-    ddl = "doc_id bigint, start bigint, end bigint, other bigint, edge struct<key: bigint, right: binary, left: binary, doc_id: bigint, pos: int>"
 
-    def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        best, start, end, other = _compared(t, k, hops)
-        found = np.flatnonzero(best >= least)
-        doc = t.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
-        edge_type = pa.struct([("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc_id", pa.int64()), ("pos", pa.int32())])
-        names = ["doc_id", "start", "end", "other", "edge"]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[found]), pa.array(start[found]), pa.array(end[found]), pa.array(other[found]), pa.nulls(len(found), edge_type)], names=names
-        )
-        if borders:
-            runs = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            ends = np.concatenate((runs[1:] - 1, [len(doc) - 1]))
-            at = np.unique(np.concatenate((runs[: hops + 1], ends[: hops + 1], runs[-hops - 1 :], ends[-hops - 1 :])))
-            edge = pa.array(t.take(pa.array(at)).select(_SUFFIX).to_pylist(), edge_type)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, edge], names=names)
-
-    return sorted_rows.select(*_SUFFIX).mapInArrow(run, ddl)
-
-
-def repeated_passages(docs: DataFrame, *, min_words: int = 50, k: int = 25, hops: int = 3) -> DataFrame:
+
+def repeated_passages(docs: DataFrame, *, min_words: int = 50, k: int = 25) -> DataFrame:
     """Passages of `min_words` words or more that also stand in another document, merged where they overlap.
 
-    One row per stretch: doc_id, start_word, end_word (exclusive), n_words, other_docs (sorted; one for each suffix
-    that took part), first_doc (no other document seen for it has a smaller id). Documents without such passages have
-    no row. Words are kept apart by ASCII white space, A-Z count as a-z.
+    One row per stretch: doc_id, start_word, end_word (exclusive), n_words, other_docs, first_doc.
+    other_docs (sorted) has for each window of `min_words` words the smallest id that shares it, or where that is the
+    row's own, the largest; so it names every representative, not every sharer. first_doc: no document that shares a
+    window of the stretch has a smaller id. Documents without such passages have no row.
+    Words are kept apart by ASCII white space, A-Z count as a-z.
 
     Every window of `min_words` words holds a minimiser of its k-grams, about two in min_words - k + 2 positions, and
     windows alike have it at the same place. K-grams that only one document has are dropped by a pre-aggregated count;
-    for the rest the suffixes are dealt out by ranges of the whole sort key, so a passage that very many documents
-    share is spread over many tasks, and each is compared with the nearest suffixes of other documents in that order
-    (rows at the borders of ranges are compared again across them) and extended by up to min_words - k words to either
-    side. Hashes of 64 bits stand for k-grams, of 16 bits for the words of the extensions.
+    of the rest, each window around its own minimiser (all divisions into words before and after it) is grouped by its
+    hash, with a pre-aggregated smallest and largest id. No pairs are made, and nothing depends on how many documents
+    share a passage. Hashes of 64 bits stand for k-grams and windows.
 
     Rows need an integer doc_id; those without one are left out, null texts have no words. Rows of one doc_id count as
     one document. Repeats inside one document alone are no match. Empty tables give an empty one.
     """
-    spark = docs.sparkSession
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    reach = min_words - k
-    found = staged(anchors(source, k, reach + 1), "anchors")
+    lo_hi = F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")
+    found = staged(anchors(source, k, min_words - k + 1), "anchors")
     # a table of its own, so that the join below has exchanges of its own and Spark can split a key that is everywhere
-    shared = staged(found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key"), "shared")
+    shared = staged(found.groupBy("key").agg(*lo_hi).where("lo < hi").select("key"), "shared")
     places = found.join(shared, "key").select("doc_id", "pos")
-    rows = staged(suffixes(source, places, k, reach), "suffixes")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(tasks, *_SUFFIX).sortWithinPartitions(*_SUFFIX)
+    rows = staged(windows(source, places, k, min_words), "windows")
     dropped(found, shared)
-    seen = staged(_matches(dealt, k, min_words, hops, True), "matches")
-    dropped(rows)
-    edges = seen.where("edge IS NOT NULL").select("edge.*").distinct().repartition(1).sortWithinPartitions(*_SUFFIX)  # some rows of each range
-    spans = seen.where("edge IS NULL").unionByName(_matches(edges, k, min_words, hops, False)).select("doc_id", "start", "end", "other")
-    by_doc = spans.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "other"))).alias("spans"))
-
-    def merge(batches):
-        for b in batches:
-            out = []
-            for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = None
-                for x in own:
-                    if held and x["start"] <= held[1]:
-                        held[1] = max(held[1], x["end"])
-                        held[2].add(x["other"])
-                    else:
-                        held = [x["start"], x["end"], {x["other"]}]
-                        out.append((doc, held))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([d for d, _ in out], pa.int64()), pa.array([h[0] for _, h in out], pa.int64()), pa.array([h[1] for _, h in out], pa.int64()),
-                    pa.array([h[1] - h[0] for _, h in out], pa.int64()), pa.array([sorted(h[2]) for _, h in out], pa.list_(pa.int64())),
-                    pa.array([d < min(h[2]) for d, h in out], pa.bool_()),
-                ],
-                names=["doc_id", "start_word", "end_word", "n_words", "other_docs", "first_doc"],
-            )
-
-    return by_doc.mapInArrow(
-        merge, "doc_id bigint, start_word bigint, end_word bigint, n_words bigint, other_docs array<bigint>, first_doc boolean"
-    )
+    ends = staged(rows.groupBy("code").agg(*lo_hi).where("lo < hi"), "ends")
+    other = F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other")
+    seen = staged(rows.join(ends, "code").select("doc_id", "start", other), "seen")
+    dropped(rows, ends)
+    return _stretches(seen.repartition("doc_id").sortWithinPartitions("doc_id", "start"), min_words)

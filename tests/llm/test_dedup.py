@@ -126,6 +126,17 @@ def test_passage_of_very_many_documents(spark):
     assert got == {i for i in range(600) if i % 3}
 
 
+def test_passages_of_few_inside_a_line_of_many(spark):
+    r = random.Random(11)
+    fresh = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    line, data = fresh(45), []
+    before = {i: fresh(10) for i in range(40)}
+    for i in range(300):
+        data.append((i, " ".join(fresh(20) + before.get(i % 150, fresh(10)) + line + fresh(30)), None, None, 1, None, None))
+    got = {x["doc_id"]: (x["n_words"], x["other_docs"]) for x in suffixes.repeated_passages(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got == {i: (55, [(i + 150) % 300]) for i in range(300) if i % 150 < 40}
+
+
 def test_minimisers_cover_windows():
     g = np.random.default_rng(0)
     for values in (g.integers(0, 2**63, 500), g.integers(0, 3, 500), np.zeros(200, int), np.arange(7)):
