@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, staged
+from .components import connected_components
 
 #: Words are kept apart by space and U+0009-0D; A-Z count as a-z.
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -190,11 +191,12 @@ def _stretches(sorted_rows: DataFrame, size: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, *, min_words: int = 50, k: int = 25) -> DataFrame:
     """Passages of `min_words` words or more that also stand in another document, merged where they overlap.
 
-    One row per stretch: doc_id, start_word, end_word (exclusive), n_words, other_docs, first_doc.
+    One row per stretch: doc_id, start_word, end_word (exclusive), n_words, other_docs, first_doc, class_id, n_links.
     other_docs (sorted) has for each window of `min_words` words the smallest id that shares it, or where that is the
     row's own, the largest; so it names every representative, not every sharer. first_doc: no document that shares a
-    window of the stretch has a smaller id. Documents without such passages have no row.
-    Words are kept apart by ASCII white space, A-Z count as a-z.
+    window of the stretch has a smaller id. class_id is the smallest doc_id that links from documents to the
+    representatives of their windows lead to, n_links the number of these links in the class. Documents without such
+    passages have no row. Words are kept apart by ASCII white space, A-Z count as a-z.
 
     Every window of `min_words` words holds a minimiser of its k-grams, about two in min_words - k + 2 positions, and
     windows alike have it at the same place. K-grams that only one document has are dropped by a pre-aggregated count;
@@ -217,4 +219,10 @@ def repeated_passages(docs: DataFrame, *, min_words: int = 50, k: int = 25) -> D
     other = F.when(F.col("lo") < F.col("doc_id"), F.col("lo")).otherwise(F.col("hi")).alias("other")
     seen = staged(rows.join(ends, "code").select("doc_id", "start", other), "seen")
     dropped(rows, ends)
-    return _stretches(seen.repartition("doc_id").sortWithinPartitions("doc_id", "start"), min_words)
+    spans = staged(_stretches(seen.repartition("doc_id").sortWithinPartitions("doc_id", "start"), min_words), "stretches")
+    dropped(seen)
+    links = staged(spans.select(F.col("doc_id").alias("u"), F.explode("other_docs").alias("v")).where("v < u").distinct(), "links")
+    roots = staged(connected_components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("class_id")), "roots")
+    sizes = links.withColumnRenamed("u", "doc_id").join(roots, "doc_id").groupBy("class_id").agg(F.count("*").alias("n_links"))
+    classes = staged(roots.join(staged(sizes, "sizes"), "class_id"), "classes")
+    return spans.join(classes, "doc_id").select(*spans.columns, "class_id", "n_links")

@@ -137,6 +137,18 @@ def test_passages_of_few_inside_a_line_of_many(spark):
     assert got == {i: (55, [(i + 150) % 300]) for i in range(300) if i % 150 < 40}
 
 
+def test_first_documents_and_classes_of_copies(spark):
+    r = random.Random(12)
+    fresh = lambda n: " ".join(f"v{r.randrange(10**9)}" for _ in range(n))
+    copy, a, b = fresh(80), fresh(50), fresh(50)
+    data = [(i, copy) for i in range(100, 120)] + [(1, f"{a} x"), (2, f"y {a} {b}"), (3, f"{b} z")]
+    frame_ = spark.createDataFrame([(i, t, None, None, 1, None, None) for i, t in data], SCHEMA)
+    got = {x["doc_id"]: x for x in suffixes.repeated_passages(frame_).collect()}
+    assert [i for i, x in got.items() if x["first_doc"] and i >= 100] == [100]
+    assert all(got[i]["other_docs"] == [100] and got[i]["class_id"] == 100 and got[i]["n_links"] == 19 for i in range(101, 120))
+    assert {(got[i]["class_id"], got[i]["n_links"]) for i in (1, 2, 3)} == {(1, 2)} and got[2]["other_docs"] == [1, 3]
+
+
 def test_minimisers_cover_windows():
     g = np.random.default_rng(0)
     for values in (g.integers(0, 2**63, 500), g.integers(0, 3, 500), np.zeros(200, int), np.arange(7)):
