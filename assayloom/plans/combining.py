@@ -73,8 +73,7 @@ def partial_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def icc_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reliability of a user's events within their type."""
-    e = views.table(spark, sf_dir, "events").where("user_id % 3 = 0")
-    return rounded(M.icc1(e, "user_id", "value", ["event_type"]))
+    return rounded(M.icc1(views.table(spark, sf_dir, "events"), "user_id", "value", ["event_type"]))
 
 
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:

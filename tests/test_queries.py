@@ -46,3 +46,20 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_icc_takes_all_events(spark, duck):
+    want = {}
+    for kind in {r[0] for r in duck.sql("SELECT event_type FROM events").fetchall()}:
+        users: dict = {}
+        for u, v in duck.execute("SELECT user_id, value FROM events WHERE event_type = ? AND value IS NOT NULL", [kind]).fetchall():
+            users.setdefault(u, []).append(v)
+        groups = [g for g in users.values() if len(g) > 1]
+        n, total = len(groups), sum(map(len, groups))
+        mean, centre = sum(map(sum, groups)) / total, [sum(g) / len(g) for g in groups]
+        msb = sum(len(g) * (c - mean) ** 2 for g, c in zip(groups, centre, strict=True)) / (n - 1)
+        msw = sum((v - c) ** 2 for g, c in zip(groups, centre, strict=True) for v in g) / (total - n)
+        k0 = (total - sum(len(g) ** 2 for g in groups) / total) / (n - 1)
+        want[kind] = (n, len(users) - n, pytest.approx((msb - msw) / (msb + (k0 - 1) * msw), abs=1e-5))
+    got = registry.queries()["icc_events"](spark, DIR).collect()
+    assert {r["event_type"]: (r["n_subjects"], r["n_single"], r["icc"]) for r in got} == want
