@@ -290,10 +290,10 @@ def decompose_unmix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decompose_nmf_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cophenetic correlation of the runs' co-assignments for each k, a task for each."""
-    x = spark.sparkContext.broadcast(np.power(2.0, np.clip(_scores(spark, sf_dir).to_numpy()[:120], -6, 6)))
+    x = spark.sparkContext.broadcast(np.power(2.0, np.clip(_scores(spark, sf_dir).to_numpy(), -6, 6)))
 
     def kernel(i: int) -> list[tuple]:
-        runs = np.array([D.nmf(x.value, 2 + i, s, 150)["w"].argmax(1) for s in range(5)])
+        runs = np.array([D.nmf(x.value, 2 + i, s)["w"].argmax(1) for s in range(5)])
         return [(2 + i, D.cophenetic(runs))]
 
     return rounded(D.seeds(spark, kernel, 4, "k bigint, cophenetic double"), 4)

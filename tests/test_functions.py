@@ -127,6 +127,29 @@ def test_more_kernels():
     assert abs(np.corrcoef(decompose.first_component(z), z.mean(1))[0, 1]) > 0.999
 
 
+def plain_cophenetic(assignments):
+    d = 1 - np.mean([a[:, None] == a[None, :] for a in assignments], 0)
+    n = len(d)
+    members, joined = [[i] for i in range(n)], np.zeros((n, n))
+    for a, b, h, _ in decompose.upgma(d):
+        joined[np.ix_(members[a], members[b])] = joined[np.ix_(members[b], members[a])] = h
+        members.append(members[a] + members[b])
+    upper = np.triu_indices(n, 1)
+    x, y = (np.unique(m[upper].round(12), return_inverse=True) for m in (d, joined))
+    ranks = [(np.cumsum(c := np.bincount(w)) - (c - 1) / 2)[w] for _, w in (x, y)]
+    return float(np.corrcoef(*ranks)[0, 1])
+
+
+def test_cophenetic_of_weighted_rows():
+    g = np.random.default_rng(8)
+    truth = g.integers(0, 3, 90)
+    runs = np.array([np.where(g.random(90) < 0.1, g.integers(0, 3, 90), truth) for _ in range(5)])
+    # rounding may settle ties between equally near rows otherwise; the query gives four digits
+    assert decompose.cophenetic(runs) == pytest.approx(plain_cophenetic(runs), abs=5e-5)
+    assert decompose.cophenetic(np.zeros((5, 7), int)) == 1.0
+    assert decompose.cophenetic(np.zeros((5, 1), int)) == 1.0
+
+
 def test_adapters(spark, tmp_path):
     from assayloom.sources import adapters
 

@@ -1,10 +1,13 @@
 """Every registered query that has SQL, held against DuckDB on the smallest tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from assayloom.plans import registry
+from assayloom.operators import decompose
+from assayloom.plans import models, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -63,3 +66,13 @@ def test_icc_takes_all_events(spark, duck):
         want[kind] = (n, len(users) - n, pytest.approx((msb - msw) / (msb + (k0 - 1) * msw), abs=1e-5))
     got = registry.queries()["icc_events"](spark, DIR).collect()
     assert {r["event_type"]: (r["n_subjects"], r["n_single"], r["icc"]) for r in got} == want
+
+
+def test_consensus_takes_all_samples(spark, monkeypatch):
+    g = np.random.default_rng(9)
+    x = np.vstack([np.repeat([[3.0, 3.0, -3.0, -3.0]], 120, 0) + g.normal(size=(120, 4)), g.normal(size=(180, 4))])
+    monkeypatch.setattr(models, "_scores", lambda spark, sf_dir: pd.DataFrame(x))
+    got = {r["k"]: r["cophenetic"] for r in models.decompose_nmf_consensus(spark, DIR).collect()}
+    up = np.power(2.0, np.clip(x, -6, 6))
+    want = {k: decompose.cophenetic(np.array([decompose.nmf(up, k, s)["w"].argmax(1) for s in range(5)])) for k in range(2, 6)}
+    assert got == pytest.approx(want, abs=1e-4)
