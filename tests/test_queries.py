@@ -1,5 +1,8 @@
 """Every registered query that has SQL, held against DuckDB on the smallest tables."""
 
+import itertools
+import random
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from assayloom.operators import decompose
-from assayloom.plans import models, registry
+from assayloom.plans import models, networks, registry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -76,3 +79,18 @@ def test_consensus_takes_all_samples(spark, monkeypatch):
     up = np.power(2.0, np.clip(x, -6, 6))
     want = {k: decompose.cophenetic(np.array([decompose.nmf(up, k, s)["w"].argmax(1) for s in range(5)])) for k in range(2, 6)}
     assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_plex_pairs_of_all_samples(spark, monkeypatch):
+    r = random.Random(10)
+    seen = {f"s{i:02d}": {f"a{j:02d}" for j in range(30) if r.random() < 0.6} for i in range(50)}
+    rows = [(s, a, int(s[1:]) * 2) for s, own in seen.items() for a in own]
+    table = spark.createDataFrame(rows, "sample_id string, assay_id string, subject_id bigint")
+    monkeypatch.setattr(networks.views, "measurements", lambda *a, **k: table)
+    got = {(x["a"], x["b"]): (x["n_both"], x["distance"]) for x in networks.recover_plex_pairs(spark, DIR).collect()}
+    every, want = set().union(*seen.values()), {}
+    for a, b in itertools.combinations(sorted(seen), 2):
+        p, q = every - seen[a], every - seen[b]
+        if len(p) >= 5 and len(q) >= 5 and p & q and 1 - len(p & q) / len(p | q) <= 0.85:
+            want[a, b] = (len(p & q), pytest.approx(1 - len(p & q) / len(p | q), abs=1e-6))
+    assert got == want and any(int(b[1:]) >= 20 for _, b in got)
