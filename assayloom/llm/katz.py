@@ -22,6 +22,7 @@ from .suffixes import _mixed, word_codes
 
 CUT = 5  # counts up to this one are discounted by Good-Turing
 LEAST = 0.05  # what larger counts give up, so that every history has something to back off with
+_UNIT = float(1 << 50)  # shares of the lower order travel as whole multiples of its inverse, which add up exactly
 _END = np.uint64(0x0E4D0E4D0E4D0E4D)
 _BEGIN = np.uint64(0xBE617BE617BE617B)
 _REQUEST = "kind int, bucket int, block bigint, payload binary"
@@ -177,12 +178,16 @@ def _count(kind: int, bucket: int, rows: list[tuple[int, bytes]]):
 
 
 def _backoff(kind: int, bucket: int, rows: list[tuple[int, bytes]]):
-    """log10 of the backoff weights from the blocks' shares of seen mass at both orders."""
+    """log10 of the backoff weights from the blocks' shares: what seen bigrams leave over, and the seen words' mass.
+
+    What is left over comes as such: it is tiny where a frequent history has few continuations, and 1 less a rounded
+    share of seen mass would lose it.
+    """
     asked = [_unpack(p) for _, p in rows]
     keys = np.concatenate([a[0] for a in asked])
     kinds, which = np.unique(keys, return_inverse=True)
-    upper, lower = (np.bincount(which, np.concatenate([a[i] for a in asked]), len(kinds)) for i in (1, 2))
-    weight = np.log10(np.maximum(1 - upper, 1e-12) / np.maximum(1 - lower, 1e-12))[which]
+    left, lower = (np.bincount(which, np.concatenate([a[i] for a in asked]), len(kinds)) for i in (1, 2))
+    weight = np.log10(np.where(left > 0, left, 1.0) / np.maximum((_UNIT - lower) / _UNIT, 1e-12))[which]
     at = 0
     for (block, _), a in zip(rows, asked, strict=True):
         yield kind, bucket, block, _pack(_short(weight[at : at + len(a[0])])), None
@@ -209,6 +214,11 @@ def discounted(count: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(count > CUT, count - LEAST, table[np.minimum(count, CUT).astype(np.int64)])
 
 
+def given_up(count: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What discounts take off counts; a history's continuations have its own count in all, so this is its backoff mass."""
+    return np.where(count > CUT, LEAST, (np.arange(CUT + 1) - table)[np.minimum(count, CUT).astype(np.int64)])
+
+
 def _joined(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     """(block, payload, answers): each block with all its answers, which are no more than its own tokens."""
     every = answers[0]
@@ -292,10 +302,10 @@ def katz_scores(docs: DataFrame, *, tokens_per_block: int = 500_000) -> DataFram
                 histories, words, pairs, speaks = model.told(block, answers)
                 seen = speaks & (pairs > 0)
                 h, n = block.pair_history[seen], len(histories)
-                upper = np.bincount(h, discounted(pairs[seen], model.bigram), n) / np.maximum(histories, 1)
+                left = np.bincount(h, given_up(pairs[seen], model.bigram), n) / np.maximum(histories, 1)
                 lower = np.bincount(h, model.word(words)[block.pair_word[seen]], n)
                 o = block.order
-                yield _batch(list(_dealt(3, k, buckets, block.histories[o], _short(upper[o]), _short(lower[o]))), _REQUEST)
+                yield _batch(list(_dealt(3, k, buckets, block.histories[o], _short(left[o]), np.rint(lower[o] * _UNIT).astype(np.uint64))), _REQUEST)
 
     weights = staged(_answered(_joined(blocks, counted).mapInArrow(shares, _REQUEST), _backoff), "weights")
 

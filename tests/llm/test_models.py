@@ -83,6 +83,16 @@ def test_katz_is_normalised():
         assert abs(sum(given(h, w) for w in known) + given(h, "no such word") - 1) < 1e-9
 
 
+def test_katz_of_frequent_history_with_few_continuations(spark):
+    held = [i for i in range(100) if crc(i) % 7 == 2][:3]
+    taught = [i for i in range(100) if crc(i) % 7 != 2][:12]
+    texts = [(i, "a " * 300_000 + f"b{n % 3} c") for n, i in enumerate(taught)] + [(i, f"a c a new{i}") for i in held]
+    data = [(i, t, None, None, len(t), None, None) for i, t in texts]
+    got = {x["doc_id"]: x["score"] for x in katz.katz_scores(frame(spark, data), tokens_per_block=200_000).collect()}
+    want = {int(x[0]): x[6] for x in brute_katz(data)[0]}
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in held)
+
+
 def test_katz_without_training(spark):
     held = next(i for i in range(100) if crc(i) % 7 == 2)
     r = katz.katz_scores(frame(spark, [(held, "a b", None, None, 3, None, None)])).collect()
