@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
@@ -19,12 +20,13 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
-#: A string of 16 or more characters, at most 40 after a word of sensitive context on its line.
-_CONTEXT = re.compile(
-    r"(?:auth|bearer|credential|private|signature|passphrase|pwd|passw|secret|token|key)[^\n]{0,40}?"
-    r"(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15,})",
-    re.IGNORECASE | re.ASCII,
-)
+#: Words of sensitive context, and strings of 16 or more characters that count where they start at most REACH after one.
+_CONTEXT = re.compile(r"auth|bearer|credential|private|signature|passphrase|pwd|passw|secret|token|key", re.IGNORECASE | re.ASCII)
+_STRING = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15,}")
+REACH = 40
+#: The head of a key block, and the lines after it, broken by newlines or by "\\n" in a quoted string: headers or base64.
+_BLOCK = re.compile(r"BEGIN [A-Z0-9 ]*PRIVATE KEY[^\n\\]*")
+_BLOCK_LINE = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*(?:([A-Za-z0-9+/=]*)|[A-Za-z][A-Za-z-]*:[^\n\\]*)[\x20\t]*(?=[\r\n\\\"']|\Z)")
 _CONTEXT_HINTS = ("auth", "bearer", "credential", "private", "signature", "passphrase", "pwd", "passw", "secret", "token", "key")
 #: Identifiers and phrases that are no secrets; the compressor knows them beforehand.
 IDENTIFIERS = (
@@ -71,23 +73,50 @@ def measured(text: str, start: int, end: int, novelty: Novelty, around: int = 16
     return novelty.share(text[max(0, start - around) : start] + text[end : end + around], text[start:end])
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Every string of 16 or more characters that starts within REACH of a context word on its line, or that is in a
+    key block; whether others were met before or not."""
+    found = {}
+    for c in _CONTEXT.finditer(text):
+        at, line = c.end(), text.find("\n", c.end(), c.end() + REACH + 1)
+        last = line if line >= 0 else c.end() + REACH
+        while m := _STRING.search(text, at, last + 16):
+            at = found[m.start()] = _STRING.match(text, m.start()).end()
+    for b in _BLOCK.finditer(text):
+        at = b.end()
+        while m := _BLOCK_LINE.match(text, at):
+            at = m.end()
+            if m[1]:
+                found[m.start(1)] = m.end(1)
+    return sorted((start, start + len(text[start:end].rstrip(".="))) for start, end in found.items())
+
+
+def random_share(word: str) -> float:
+    """Bytes a character that random strings over the word's kinds of characters take at least, however long."""
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", word):
+        size = 16
+    elif re.fullmatch("[A-Z2-7]+|[a-z2-7]+", word):
+        size = 32
+    else:
+        size = sum(n for kind, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10)) if re.search(kind, word)) + len(set(word) & set("+/_.=-"))
+    return math.log2(max(size, 2)) / 8
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, least: float, around: int = 160):
-    """Spans of sensitive context that overlap no taken one, hold letters and digits, and don't compress."""
+    """Spans of sensitive context that overlap no taken one, hold letters and digits, and compress to no less than
+    `least` of what random strings of their alphabet take."""
     low = text.lower()
     if not any(h in low for h in _CONTEXT_HINTS):
         return []
-    out, at = [], 0
-    while m := _CONTEXT.search(text, at):
-        start, end = m.span(1)
-        at = end
-        word = m[1].rstrip(".=")
-        end = start + len(word)
+    out = []
+    for start, end in candidates(text):
+        word = text[start:end]
         if len(word) < 16 or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
             continue
         if any(s < end and start < e for s, e, _ in taken):
             continue
         share = measured(text, start, end, novelty, around)
-        if share >= least:
+        if share >= least * random_share(word):
             out.append((start, end, "novel", share))
     return out
 
@@ -109,7 +138,7 @@ def scan_secrets(
 
     Spans are in code points, the end exclusive, by start and then kind. Every candidate
     is measured against its surroundings and the identifier dictionary; base spans stay whatever their novelty, further
-    ones ("novel") are reported from `least_novelty` on. redact: return docs' own
+    ones ("novel") are reported from `least_novelty` on, as a share of what random strings of their alphabet take. redact: return docs' own
     columns instead, with every span replaced by `mark` (n_chars follows where there is such a column); no row goes.
 
     Each text is scanned whole and by itself: no shuffle, nothing to skew. Null text counts as empty (with redact it
