@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[str] = []
+_WORKER: dict = {}  # what this worker process keeps from task to task: one operator's state
 _PATHS: dict[int, str] = {}  # of the frames that staged() gave out
 
 
@@ -76,6 +78,26 @@ def release(spark: SparkSession) -> None:
         _STAGED.clear()
 
 
+def worker_state(key=None, make=None):
+    """What make() gives, kept in this worker process for the tasks that ask for the same key.
+
+    Workers are used again by other operators: there is one place, and whoever asks for another key empties it first.
+    """
+    if key not in _WORKER:
+        _WORKER.clear()
+        if make is None:
+            return None
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
+def thin_out(cache: dict, most: int) -> None:
+    """Take the later half out of a cache that is too large: what is frequent was met, and put in, early."""
+    if len(cache) > most:
+        for key in list(islice(reversed(cache), len(cache) // 2)):
+            del cache[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
