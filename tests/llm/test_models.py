@@ -17,6 +17,24 @@ from assayloom.llm.queries import QUERIES
 DIR = "/root/testdata/sf0.001"
 
 
+def good_turing(n):
+    """Katz's discounted counts 0..5 from numbers of things by count, smoothed by a line through logarithms."""
+    seen = [r for r in sorted(n) if r <= 30]
+    points = []
+    for i, r in enumerate(seen):
+        before = seen[i - 1] if i else 0
+        after = seen[i + 1] if i + 1 < len(seen) else 2 * r - before
+        points.append((math.log(r), math.log(n[r] * 2 / (after - before))))
+    slope = -2.0
+    if len(points) > 1:
+        mx, my = (sum(p[i] for p in points) / len(points) for i in (0, 1))
+        slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, y in points)
+    slope = min(slope, -1.1)
+    smooth = {r: r**slope for r in range(1, 8)}
+    common = 6 * smooth[6] / smooth[1]
+    return [0.0] + [r * ((r + 1) * smooth[r + 1] / smooth[r] / r - common) / (1 - common) for r in range(1, 6)]
+
+
 def brute_katz(data):
     """Rows as (id, held, n, known, N, base, score), and the model's conditional probability."""
     teach = [x[0] is not None and crc(x[0]) % 7 != 2 for x in data]
@@ -30,8 +48,7 @@ def brute_katz(data):
     total, distinct = sum(uni.values()), len(uni)
 
     def table(counts):
-        n = collections.Counter(counts.values())
-        t = katz.discounts([float(n[i]) for i in range(1, 7)])
+        t = good_turing(collections.Counter(counts.values()))
         return lambda c: t[c] if c <= 5 else c - 0.05
 
     du, db = table(uni), table(bi)
@@ -93,6 +110,36 @@ def test_katz_of_frequent_history_with_few_continuations(spark):
     assert all(abs(got[i] - want[i]) < 1e-6 for i in held)
 
 
+def test_katz_keeps_its_model(spark, tmp_path):
+    first = katz.katz_scores(frame(spark), tokens_per_block=700, model_path=str(tmp_path / "m")).collect()
+    again = katz.score_with(frame(spark), str(tmp_path / "m"), tokens_per_block=300).collect()
+    plain = lambda found: sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in found)
+    assert plain(first) == plain(again)
+    new = [(1, "the never seen words", None, None, 20, None, None), (2, None, None, None, None, None, None)]
+    given = brute_katz(rows())[1]
+    got = {r["doc_id"]: r["score"] for r in katz.score_with(frame(spark, new), str(tmp_path / "m")).collect()}
+    for i, t in ((1, ["the", "never", "seen", "words", None]), (2, [None])):
+        assert abs(got[i] - sum(math.log10(given(h, w)) for h, w in zip(["<s>", *t], t, strict=False))) < 1e-6
+    assert katz.score_with(frame(spark, []), str(tmp_path / "m")).count() == 0
+
+
+def test_good_turing_of_word_pairs(spark):
+    """On a real table the fitted line alone gives the discounts: no slope is held."""
+    pairs = collections.Counter()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        if crc(r[0]) % 7 != 2:
+            w = [*words(r[1]), None]
+            pairs.update(zip(["<s>", *w], w, strict=False))
+    n = collections.Counter(pairs.values())
+    want = good_turing(n)
+    assert np.allclose(katz.discounts([float(n[i]) for i in range(1, katz.RANKS + 1)]), want)
+    held = -0.1  # the power that a held slope would give
+    common = 6**held
+    assert abs(want[1] - (2**held - common) / (1 - common)) > 0.05 and all(0 < d < r for r, d in enumerate(want) if r)
+    for few in ([], [3.0], [0.0, 0.0, 5.0], [1.0, 9.0, 9.0]):
+        assert (0 < katz.discounts(few)[1:]).all() and (katz.discounts(few)[1:] < np.arange(1, 6)).all()
+
+
 def test_katz_without_training(spark):
     held = next(i for i in range(100) if crc(i) % 7 == 2)
     r = katz.katz_scores(frame(spark, [(held, "a b", None, None, 3, None, None)])).collect()
