@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -241,6 +242,18 @@ def normal_cdf(z: pd.Series) -> pd.Series:
     return _nullable(norm_cdf(z.to_numpy(float)))
 
 
+@F.pandas_udf(DoubleType())
+def normal_upper(z: pd.Series) -> pd.Series:
+    """The upper tail."""
+    return _nullable(0.5 * np.array([math.erfc(x / math.sqrt(2)) for x in z.to_numpy(float)]))
+
+
+@F.pandas_udf(DoubleType())
+def normal_quantile(p: pd.Series) -> pd.Series:
+    """The value below which a share p lies; null outside (0, 1)."""
+    return _nullable(np.array([NormalDist().inv_cdf(x) if 0 < x < 1 else np.nan for x in p.to_numpy(float)]))
+
+
 @F.pandas_udf(DoubleType())
 def chi2_pvalue(x: pd.Series, df: pd.Series) -> pd.Series:
     return _nullable(chi2_sf(x.to_numpy(float), df.to_numpy(float)))

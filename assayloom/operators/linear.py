@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.columns import bh_fdr
 
 GRID = np.array([-18, -12, -8, -4, 0, 4, 8, 12], float)
 
@@ -363,7 +364,7 @@ def paired_ancova(pair_rows: DataFrame, keys: list[str], covariates: list[str])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, max_iter: int = 50, tol: float = 1e-9) -> tuple[np.ndarray, np.ndarray] | None:
-    """Coefficients and covariance by reweighted least squares; None where they run away."""
+    """Coefficients and covariance by reweighted least squares; None where they run away or don't settle."""
     beta = np.zeros(x.shape[1])
     for _ in range(max_iter):
         prob = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -376,8 +377,8 @@ def logistic(x: np.ndarray, y: np.ndarray, max_iter: int = 50, tol: float = 1e-9
         if np.abs(beta).max() > 30:
             return None
         if np.abs(step).max() < tol:
-            break
-    return beta, np.linalg.inv((x * w[:, None]).T @ x)
+            return beta, np.linalg.inv((x * w[:, None]).T @ x)
+    return None
 
 
 def detectability(grid: DataFrame, keys: list[str], value: str, arm: str) -> DataFrame:
@@ -389,7 +390,9 @@ def detectability(grid: DataFrame, keys: list[str], value: str, arm: str) -> Dat
     def fit(rows: pd.DataFrame) -> list[dict]:
         a = (rows[arm] == "a").to_numpy(float)
         seen = rows[value].notna().to_numpy(float)
-        out: dict = {"n": len(rows), "rate_a": float(seen[a == 1].mean()) if a.any() else None, "rate_b": float(seen[a == 0].mean()) if (a == 0).any() else None}
+        out: dict = {
+            "n": len(rows), "n_a": int(a.sum()), "n_b": int(len(a) - a.sum()), "n_detected_a": int(seen[a == 1].sum()), "n_detected_b": int(seen[a == 0].sum()), "rate_a": float(seen[a == 1].mean()) if a.any() else None, "rate_b": float(seen[a == 0].mean()) if (a == 0).any() else None,
+        }
         found = logistic(np.column_stack([np.ones(len(a)), a]), seen) if 0 < seen.mean() < 1 and 0 < a.mean() < 1 else None
         if found:
             z = found[0][1] / math.sqrt(max(found[1][1, 1], 1e-300))
@@ -403,4 +406,42 @@ def detectability(grid: DataFrame, keys: list[str], value: str, arm: str) -> Dat
         out["label"] = "both" if d and b else "detection" if d else "abundance" if b else "untestable" if det is None and ab is None else "neither"
         return [out]
 
-    return per_feature(grid.select(*keys, value, arm), keys, fit, "n bigint, rate_a double, rate_b double, log_odds double, detection_p double, abundance_diff double, abundance_p double, label string")
+    return per_feature(grid.select(*keys, value, arm), keys, fit, "n bigint, n_a bigint, n_b bigint, n_detected_a bigint, n_detected_b bigint, rate_a double, rate_b double, log_odds double, detection_p double, abundance_diff double, abundance_p double, label string")
+
+
+def detectability_summary(rows: DataFrame, by: list[str], key: list[str], q: float = 0.05) -> DataFrame:
+    """What detectability() says of each comparison: tests, hits under q (detection and abundance corrected apart),
+    features detected equally often, differences of detection rates, and a diagnosis."""
+    x = rows.withColumn("_dq", bh_fdr("detection_p", by, key)).withColumn("_aq", bh_fdr("abundance_p", by, key)).withColumn("_d", F.abs(F.col("rate_a") - F.col("rate_b")))
+    same = (F.col("n_detected_a") == F.col("n_detected_b")) & (F.col("n_a") - F.col("n_detected_a") == F.col("n_b") - F.col("n_detected_b"))
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    g = x.groupBy(*by).agg(
+        F.count("*").alias("n_features"), F.count("detection_p").alias("n_detection_tested"), F.count_if(F.col("_dq") < q).alias("n_detection_hits"), F.count_if(F.col("_aq") < q).alias("n_abundance_hits"),
+        F.count_if(same).alias("n_identical_counts"), F.count_if(F.col("_d") < 1e-12).alias("n_zero_delta"), F.count("_d").alias("_n"), F.median("_d").alias("median_abs_delta"), F.max("_d").alias("max_abs_delta"),
+    )
+    g = g.withColumn("share_identical", share("n_identical_counts", "n_features")).withColumn("share_zero_delta", share("n_zero_delta", "_n")).drop("_n")
+    no_hits = F.col("n_detection_hits") == 0
+    told = F.when(F.col("n_detection_tested") == 0, "no_detection_tests").when((F.col("share_identical") >= 0.95) | ((F.col("share_zero_delta") >= 0.95) & no_hits), "condition_invariant_detection")
+    return g.withColumn("diagnostic", told.when(no_hits & (F.col("median_abs_delta") < 0.02), "weak_detection_contrast").otherwise("detection_informative"))
+
+
+def squeeze(fits: DataFrame) -> DataFrame:
+    """Rows of peptide_model() with variances shrunk towards a prior of all features' variances at their median df:
+    s2_post, df_total, se, t, p_value, df_prior, s2_prior. Without a finite prior the figures stay the features' own."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["feature", "term"])
+        one = rows.drop_duplicates("feature")
+        df0 = float(np.sort(one["df"].to_numpy(float))[len(one) // 2])
+        s0, d0 = prior(one["s2"].to_numpy(float), np.full(len(one), df0)) if len(one) > 1 and df0 > 0 else (math.nan, math.inf)
+        df, s2 = rows["df"].to_numpy(float), rows["s2"].to_numpy(float)
+        known = math.isfinite(d0) and d0 > 0 and math.isfinite(s0)
+        total = df + d0 if known else df
+        post = (df * s2 + d0 * s0) / total if known else s2
+        se = np.sqrt(post * rows["unscaled"].to_numpy(float))
+        t = np.divide(rows["estimate"].to_numpy(float), se, out=np.full(len(se), np.nan), where=se > 0)
+        return rows[["feature", "term", "estimate", "n_peptides"]].assign(s2_post=post, df_total=total, se=se, t=t, p_value=dist.t_two_sided(t, total), df_prior=d0 if known else None, s2_prior=s0 if known else None)
+
+    return fits.withColumnRenamed(fits.columns[0], "feature").groupBy(F.lit(1).alias("_all")).applyInPandas(  # a row for each feature and term
+        run, "feature string, term string, estimate double, n_peptides bigint, s2_post double, df_total double, se double, t double, p_value double, df_prior double, s2_prior double"
+    )

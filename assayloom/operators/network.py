@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -15,7 +16,7 @@ MAX_EDGES = 100_000_000
 
 
 def check_edges(n_features: int, n_groups: int = 1, limit: int = MAX_EDGES) -> int:
-    """The number of feature pairs; refuses what would be more than limit."""
+    """The number of feature pairs in n_groups groups; refuses what would be more than limit."""
     n = n_features * (n_features - 1) // 2 * n_groups
     if n > limit:
         raise ValueError(f"{n} feature pairs are more than the limit of {limit}; filter features or ask for the top edges")
@@ -23,8 +24,13 @@ def check_edges(n_features: int, n_groups: int = 1, limit: int = MAX_EDGES) -> i
 
 
 def pairwise(df: DataFrame, feature: str, sample: str, value: str, by: list[str], metric: str = "pearson") -> DataFrame:
-    """f1 < f2, r, n over the samples both have; an undefined r counts as 0 and is told by `undefined`."""
+    """f1 < f2, r, n over the samples both have; an undefined r counts as 0 and is told by `undefined`.
+
+    More feature pairs than check_edges() allows are refused; so features are counted first.
+    """
     x = df.where(F.col(value).isNotNull()).select(*by, F.col(feature).alias("_f"), F.col(sample).alias("_s"), F.col(value).cast("double").alias("_v"))
+    sizes = x.groupBy(*by).agg(F.count_distinct("_f").alias("n")).agg(F.max("n"), F.count("*")).first()
+    check_edges(int(sizes[0] or 0), int(sizes[1] or 0))
     a, b = x.withColumnsRenamed({"_f": "f1", "_v": "_a"}), x.withColumnsRenamed({"_f": "f2", "_v": "_b"})
     both = a.join(b, [*by, "_s"]).where("f1 < f2")
     if metric == "spearman":
@@ -89,11 +95,14 @@ def rewiring(edges: DataFrame, modules: DataFrame, cohort: str) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) of undirected edges (a, b): least labels spread and jump until nothing changes.
 
-    Labels are checkpointed each round in the folder that spark.checkpoint.dir names (a temporary one where unset).
+    Labels are checkpointed each round in the folder that spark.checkpoint.dir names (on one machine a temporary one where unset).
     """
     sc = edges.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assayloom-"))
+        shared = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assayloom-"))
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("root")).checkpoint()
     for _ in range(max_rounds):
@@ -204,3 +213,29 @@ def components_for_variance(spectrum: DataFrame, target: float, low: int, high:
     free = s.agg(F.min(F.when(F.col("_share") >= target - 1e-12, F.col("_k"))).cast("long").alias("free_k"))
     k = F.greatest(F.lit(low), F.least(F.lit(high), F.col("free_k"))).cast("long")
     return free.select("free_k", k.alias("k"), (F.col("free_k") < low).alias("at_lower"), (F.col("free_k") > high).alias("at_upper"))
+
+
+def archetype_summary(members: DataFrame, programs: DataFrame) -> DataFrame:
+    """One row on archetypes of two programs or more (root, cohort, category): how many, over several cohorts, over all
+    of them, and the share whose known categories are all the same."""
+    cohorts = programs.agg(F.count_distinct("cohort").alias("_all"))
+    g = members.groupBy("root").agg(F.count("*").alias("_n"), F.count_distinct("cohort").alias("_c"), F.count("category").alias("_known"), F.count_distinct("category").alias("_kinds")).where("_n >= 2")
+    g = g.crossJoin(F.broadcast(cohorts))
+    return g.agg(
+        F.count("*").alias("n_archetypes"), F.count_if(F.col("_c") >= 2).alias("n_multi_cohort"), F.count_if(F.col("_c") == F.col("_all")).alias("n_universal"),
+        F.avg(F.when(F.col("_known") >= 2, (F.col("_kinds") == 1).cast("double"))).alias("category_recovery"),
+    )
+
+
+def alignment_sweep(loadings: DataFrame, metrics: list[tuple[str, int]], taus: list[float]) -> DataFrame:
+    """For each metric (with a number of top features) and threshold: pairs of programs, admitted ones, reciprocally best
+    ones among these."""
+    parts = [program_similarity(loadings, metric, top_n or 5).withColumns({"metric": F.lit(metric), "top_n": F.lit(top_n).cast("long")}) for metric, top_n in metrics]
+    s = reduce(DataFrame.unionByName, parts)
+    best = lambda mine, yours: F.row_number().over(W.partitionBy("metric", "top_n", f"{mine}_cohort", f"{mine}_program", f"{yours}_cohort").orderBy(F.round("similarity", 12).desc(), f"{yours}_program"))
+    s = s.withColumn("_a", best("a", "b")).withColumn("_b", best("b", "a")).withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    admitted = F.col("similarity") >= F.col("tau")
+    return s.groupBy("metric", "top_n", "tau").agg(
+        F.count("*").alias("n_pairs"), F.count_if(admitted).alias("n_admitted"), F.avg(admitted.cast("double")).alias("admitted_share"),
+        F.count_if(admitted & (F.col("_a") == 1) & (F.col("_b") == 1)).alias("n_reciprocal"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.rng import stream
+from .decompose import bca
 
 
 def nearest(values: np.ndarray, q: float) -> float:
@@ -66,11 +67,14 @@ def ratio_effects(df: DataFrame, numerator: list[str], denominator: list[str], f
 
 
 def ratio_test(ratios: DataFrame, a: str, b: str, n: int, seed: int) -> DataFrame:
-    """Difference of medians with a bootstrap interval and a permutation p; one row per subject comes to one task."""
+    """Difference of medians with a bootstrap interval and a permutation p; one row per subject comes to one task. An
+    empty side leaves all but the numbers of subjects null."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["condition", "subject_id"])
         x, y = (rows.loc[rows["condition"] == c, "log_ratio"].to_numpy(float) for c in (a, b))
+        if not len(x) or not len(y):
+            return pd.DataFrame([{"n_a": len(x), "n_b": len(y), "median_diff": None, "ci_low": None, "ci_high": None, "permutation_p": None}])
         g = stream(seed, a, b)
         point = float(np.median(x) - np.median(y))
         draws = np.median(x[g.integers(0, len(x), (n, len(x)))], 1) - np.median(y[g.integers(0, len(y), (n, len(y)))], 1)
@@ -121,3 +125,35 @@ def gsea(ranked: DataFrame, sets: DataFrame, by: list[str], n: int, seed: int) -
 
     schema = ", ".join(f"`{k}` {ranked.schema[k].dataType.simpleString()}" for k in by)
     return rows.groupBy(*by, "set_name").applyInPandas(fit, f"{schema}, set_name string, es double, nes double, p_value double, n_same_sign bigint")
+
+
+def resample_within(g: np.random.Generator, groups: list[np.ndarray]) -> list[np.ndarray]:
+    """Each group drawn from itself with replacement, at its own size."""
+    return [x[g.integers(0, len(x), len(x))] if len(x) else x for x in groups]
+
+
+def stratified_bootstrap(df: DataFrame, by: list[str], group: str, levels: tuple[str, str], value: str, n: int, seed: int, level: float = 0.95) -> DataFrame:
+    """Difference of the means of two levels within `by`, with an interval from draws within each level. Groups of one
+    level alone have no row; the key of a row (sample_id) orders what is drawn from."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "n_a", "n_b", "effect", "ci_low", "ci_high"]
+        rows = rows.dropna().sort_values("sample_id")
+        x = [rows.loc[rows[group] == v, value].to_numpy(float) for v in levels]
+        if not all(map(len, x)):
+            return pd.DataFrame(columns=names)
+        g, tail = stream(seed, *key), (1 - level) / 2
+        draws = np.array([a.mean() - b.mean() for a, b in (resample_within(g, x) for _ in range(n))])
+        return pd.DataFrame([[*key, len(x[0]), len(x[1]), x[0].mean() - x[1].mean(), nearest(draws, tail), nearest(draws, 1 - tail)]], columns=names)
+
+    part = df.where(F.col(group).isin(*levels)).select(*by, "sample_id", group, value)
+    schema = ", ".join(f"`{k}` {part.schema[k].dataType.simpleString()}" for k in by)
+    return part.groupBy(*by).applyInPandas(run, f"{schema}, n_a bigint, n_b bigint, effect double, ci_low double, ci_high double")
+
+
+def bca_interval(values: np.ndarray, statistic, n: int, seed: int, *key) -> tuple[float, float]:
+    """Bias-corrected accelerated interval of a statistic, from draws and leave-one-out values."""
+    g = stream(seed, *key)
+    draws = np.array([statistic(values[g.integers(0, len(values), len(values))]) for _ in range(n)])
+    left_out = np.array([statistic(np.delete(values, i)) for i in range(len(values))]) if len(values) > 1 else draws[:1]
+    return bca(float(statistic(values)), draws, left_out)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import twogroup as T
 from ..functions.columns import average_rank, bh_fdr, top_abs, zscore
 from ..functions.dist import hypergeom_pvalue
 
@@ -108,3 +109,17 @@ def weighted_mean(df: DataFrame, loadings: DataFrame, value: str = "abundance")
     """Program scores: sum of loading times value over the sum of absolute loadings."""
     g = df.join(loadings, "gene_symbol").groupBy("program", "sample_id")
     return g.agg(F.try_divide(F.sum(F.col("loading") * F.col(value)), F.sum(F.abs("loading"))).alias("score"))
+
+
+def weighted_summary(armed: DataFrame) -> DataFrame:
+    """Per comparison of scored samples (comparison, arm, score): Cohen's d with its interval, Welch's p, AUC."""
+    d = T.effect_sizes(armed, ["comparison"], "score").select("comparison", "n_a", "n_b", "cohen_d", "d_low", "d_high")
+    p = T.welch(armed, ["comparison"], "score", 2).select("comparison", F.col("p_value").alias("welch_p"))
+    return d.join(p, "comparison").join(T.rank_sum(armed, ["comparison"], "score").select("comparison", "auc"), "comparison")
+
+
+def endmember_enrichment(levels: DataFrame, sets: DataFrame, top_n: int) -> DataFrame:
+    """Over-representation of sets among each endmember's top_n features by level (ties by name), within all features."""
+    place = F.row_number().over(W.partitionBy("endmember").orderBy(F.desc("level"), "gene_symbol"))
+    top = levels.where("level IS NOT NULL").withColumn("_p", place).where(F.col("_p") <= top_n).select(F.col("endmember").alias("query"), "gene_symbol")
+    return over_representation(top, sets, levels.select("gene_symbol")).drop("odds_ratio").withColumnRenamed("query", "endmember")

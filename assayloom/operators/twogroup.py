@@ -6,7 +6,7 @@ every row is sent to the comparisons it takes part in, a small constant factor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,12 +27,13 @@ def pairs(df: DataFrame, by: list[str], subject: str = "subject_id", value: str
     return both.where("va IS NOT NULL AND vb IS NOT NULL").withColumn("d", F.col("va") - F.col("vb"))
 
 
-def welch(df: DataFrame, by: list[str], value: str = "abundance", min_n: int = 3) -> DataFrame:
-    """Welch's test per group: n_a, n_b, mean_a, mean_b, mean_diff, var_a, var_b, t, df, p_value, skip_reason."""
+def welch(df: DataFrame, by: list[str], value: str = "abundance", min_n: int = 3, more: tuple[Column, ...] = ()) -> DataFrame:
+    """Welch's test per group: n_a, n_b, mean_a, mean_b, mean_diff, var_a, var_b, t, df, p_value, skip_reason; and
+    further aggregates of the same pass."""
     v = F.col(value)
     a, b = F.when(F.col("arm") == "a", v), F.when(F.col("arm") == "b", v)
     g = df.groupBy(*by).agg(
-        F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.var_samp(a).alias("var_a"), F.var_samp(b).alias("var_b")
+        F.count(a).alias("n_a"), F.count(b).alias("n_b"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.var_samp(a).alias("var_a"), F.var_samp(b).alias("var_b"), *more
     )
     sa, sb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     skip = F.when((F.col("n_a") < min_n) | (F.col("n_b") < min_n), "too_few").when((F.col("var_a") <= 0) & (F.col("var_b") <= 0), "zero_variance")
@@ -47,7 +48,11 @@ def welch(df: DataFrame, by: list[str], value: str = "abundance", min_n: int = 3
 
 def paired(pair_rows: DataFrame, by: list[str], min_pairs: int = 3) -> DataFrame:
     """Paired t test per group of pairs(): n, mean_diff, sd, t, df, p_value, skip_reason."""
-    g = pair_rows.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
+    return paired_test(pair_rows.groupBy(*by).agg(F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd")), min_pairs)
+
+
+def paired_test(g: DataFrame, min_pairs: int = 3) -> DataFrame:
+    """Rows with n, mean_diff and sd, and their paired t test."""
     skip = F.when(F.col("n") < max(min_pairs, 2), "too_few").when(F.col("sd") <= 0, "zero_variance")
     ok = F.col("skip_reason").isNull()
     return (
@@ -93,10 +98,11 @@ def effect_sizes(df: DataFrame, by: list[str], value: str = "abundance") -> Data
     )
 
 
-def robust_paired_block(pair_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of pairs(): Cohen's dz, median, 20% trimmed mean and the 95% t interval of the mean difference."""
+def robust_paired_block(pair_rows: DataFrame, by: list[str], more: tuple[Column, ...] = ()) -> DataFrame:
+    """Per group of pairs(): Cohen's dz, median, 20% trimmed mean and the 95% t interval of the mean difference; and
+    further aggregates of the same pass."""
     g = pair_rows.groupBy(*by).agg(
-        F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.median("d").alias("median_diff"), F.collect_list("d").alias("_d")
+        F.count("d").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), F.median("d").alias("median_diff"), F.collect_list("d").alias("_d"), *more
     )
     half = F.col("_crit") * F.col("sd") / F.sqrt("n")
     return (

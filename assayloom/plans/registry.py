@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import combining, differential, models, networks, shaping
+from . import combining, differential, driver, models, networks, shaping
 
-MODULES = (differential, shaping, combining, networks, models)
+MODULES = (differential, shaping, combining, networks, models, driver)
 
 
 def queries() -> dict:
