@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import combine as M
@@ -60,11 +61,12 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per gene: the subjects' A and N values against each other, less the gene's mean."""
+    """Per gene: the subjects' A and N values against each other, each less the mean of all of them."""
     e = effective_rows(spark, sf_dir).groupBy("gene_symbol", "subject_id").agg(
         F.avg(F.when(F.col("condition") == "A", F.col("abundance"))).alias("x"), F.avg(F.when(F.col("condition") == "N", F.col("abundance"))).alias("y")
     )
-    return rounded(M.coupling(e.withColumns({"x": F.col("x") - 15.1, "y": F.col("y") - 15.1}), "x", "y", ["gene_symbol"]))
+    both = e.where("x IS NOT NULL AND y IS NOT NULL").withColumn("_m", F.avg((F.col("x") + F.col("y")) / 2).over(W.partitionBy("gene_symbol")))
+    return rounded(M.coupling(both.withColumns({"x": F.col("x") - F.col("_m"), "y": F.col("y") - F.col("_m")}), "x", "y", ["gene_symbol"]))
 
 
 def partial_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +230,8 @@ SELECT *, tanh(z - 1.96 / sqrt(n - 3)) AS ci_low, tanh(z + 1.96 / sqrt(n - 3)) A
 FROM (SELECT *, atanh(greatest(-0.999999, least(0.999999, rho))) AS z FROM (
   SELECT gene_symbol, count(*) AS n, corr(rx, ry) AS rho, count(*) FILTER (x * y > 0) AS n_same_sign, count(*) FILTER (x * y <> 0) AS n_signed FROM (
     SELECT *, rank() OVER (PARTITION BY gene_symbol ORDER BY x) + (count(*) OVER (PARTITION BY gene_symbol, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY gene_symbol ORDER BY y) + (count(*) OVER (PARTITION BY gene_symbol, y) - 1) / 2 AS ry FROM (
-      SELECT gene_symbol, subject_id, avg(abundance) FILTER (condition = 'A') - 15.1 AS x, avg(abundance) FILTER (condition = 'N') - 15.1 AS y FROM eff GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL))
+      SELECT gene_symbol, x - avg((x + y) / 2) OVER (PARTITION BY gene_symbol) AS x, y - avg((x + y) / 2) OVER (PARTITION BY gene_symbol) AS y FROM (
+        SELECT gene_symbol, subject_id, avg(abundance) FILTER (condition = 'A') AS x, avg(abundance) FILTER (condition = 'N') AS y FROM eff GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL)))
   GROUP BY ALL HAVING count(*) >= 4))""", plain=("gene_symbol", "n", "n_same_sign", "n_signed")),
     "partial_rank": _V + """
 SELECT cohort, count(*) AS n, round((corr(r1, r2) - corr(r1, r3) * corr(r2, r3)) / sqrt((1 - pow(corr(r1, r3), 2)) * (1 - pow(corr(r2, r3), 2))), 6) + 0.0 AS partial_rho FROM (
@@ -239,7 +242,7 @@ SELECT event_type, n_subjects, n_single, round((msb - msw) / (msb + (k0 - 1) * m
     (sum(k * m * m) FILTER (k >= 2) - pow(sum(k * m) FILTER (k >= 2), 2) / sum(k) FILTER (k >= 2)) / (count(*) FILTER (k >= 2) - 1) AS msb,
     sum((k - 1) * v) FILTER (k >= 2) / (sum(k) FILTER (k >= 2) - count(*) FILTER (k >= 2)) AS msw,
     (sum(k) FILTER (k >= 2) - sum(k * k) FILTER (k >= 2) / sum(k) FILTER (k >= 2)) / (count(*) FILTER (k >= 2) - 1) AS k0
-  FROM (SELECT event_type, user_id, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM events WHERE user_id % 3 = 0 GROUP BY ALL) GROUP BY event_type)""",
+  FROM (SELECT event_type, user_id, count(*) AS k, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY ALL) GROUP BY event_type)""",
     "robustness": _DE + f""",
 loo AS ({bh_sql('p_value', 'replicate, comparison', 'panel, gene_symbol', f"SELECT *, {t_p_sql('t', 'df')} AS p_value FROM ({_welch_sql('replicate, comparison, panel, gene_symbol', 'SELECT r.replicate, a.* FROM arm a JOIN (SELECT DISTINCT region AS replicate FROM smp) r ON a.region <> r.replicate')})")})
 SELECT comparison, panel, gene_symbol, n_replicates, round(s, 6) AS sign_match_rate, round(hit_rate, 6) AS hit_rate, round(abs(e) * s * (1 - q), 6) AS stability FROM (

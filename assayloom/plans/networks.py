@@ -247,7 +247,7 @@ mdl AS (SELECT DISTINCT 'M' || (CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS I
 SELECT module, condition, round(m, 6) AS mean_abs_r, n AS n_edges, round(stddev_samp(m) OVER (PARTITION BY module), 6) AS sd_over_cohorts FROM (
   SELECT a.module, condition, avg(abs(r)) AS m, count(*) AS n FROM edg JOIN mdl a ON a.g = f1 JOIN mdl b ON b.g = f2 AND a.module = b.module GROUP BY ALL)""",
     "absence_topology": _V + _absent_sql("fine", "assay_id", "sample_id", 0.75),
-    "recover_plex_pairs": _V + _absent_sql("(SELECT * FROM fine WHERE subject_id < 40)", "sample_id", "assay_id", 0.85),
+    "recover_plex_pairs": _V + _absent_sql("fine", "sample_id", "assay_id", 0.85),
     "align_jaccard": _V + """,
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cohort, program ORDER BY abs(loading) DESC, feature) AS p FROM ldg) WHERE p <= 3), g AS (SELECT cohort, program, list(feature) AS f FROM t GROUP BY ALL)
 SELECT a.cohort AS a_cohort, a.program AS a_program, b.cohort AS b_cohort, b.program AS b_program, round(len(list_intersect(a.f, b.f)) / len(list_distinct(list_concat(a.f, b.f))), 6) AS similarity FROM g a JOIN g b ON a.cohort < b.cohort""",

@@ -44,7 +44,7 @@ def measurements(spark: SparkSession, sf_dir: str, by_type: bool = False) -> Dat
     return (
         lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("l_suppkey").alias("subject_id"), F.col("l_returnflag").alias("condition"), assay.alias("assay_id"), F.col("p_brand").alias("gene_symbol"))
-        .agg(F.log2(F.avg("l_extendedprice")).alias("abundance"), (F.avg("l_discount") < 0.045).alias("below_lod"), F.count("*").alias("n_rows"))
+        .agg(F.log2(F.avg("l_extendedprice")).alias("abundance"), (F.round(F.avg("l_discount"), 6) < 0.045).alias("below_lod"), F.count("*").alias("n_rows"))
         .select(
             F.concat_ws("_", "subject_id", "condition").alias("sample_id"), "subject_id", "condition", "assay_id", "gene_symbol",
             F.concat(F.lit("P"), brand_number("gene_symbol") % 4).alias("panel"), "abundance", "below_lod",
@@ -77,12 +77,12 @@ smp AS (
 msr AS (
   SELECT l_suppkey || '_' || l_returnflag AS sample_id, l_suppkey AS subject_id, l_returnflag AS condition, p_brand AS assay_id,
     p_brand AS gene_symbol, 'P' || (CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 4) AS panel,
-    log2(avg(l_extendedprice)) AS abundance, avg(l_discount) < 0.045 AS below_lod, count(*) < 2 AS dropped_by_qc, count(*) AS n_rows
+    log2(avg(l_extendedprice)) AS abundance, round(avg(l_discount), 6) < 0.045 AS below_lod, count(*) < 2 AS dropped_by_qc, count(*) AS n_rows
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 fine AS (
   SELECT l_suppkey || '_' || l_returnflag AS sample_id, l_suppkey AS subject_id, l_returnflag AS condition, p_brand || '|' || p_type AS assay_id,
     p_brand AS gene_symbol, 'P' || (CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 4) AS panel,
-    log2(avg(l_extendedprice)) AS abundance, avg(l_discount) < 0.045 AS below_lod, count(*) AS n_rows
+    log2(avg(l_extendedprice)) AS abundance, round(avg(l_discount), 6) < 0.045 AS below_lod, count(*) AS n_rows
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 eff AS (
   SELECT m.*, s.is_control, s.acctbal, s.nation, s.region FROM msr m JOIN smp s USING (sample_id)
