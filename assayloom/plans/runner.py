@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import content_hash
+from ..sources.tables import content_hash, read_text_table, write_table
 
 
 @dataclass
@@ -33,8 +35,18 @@ class Plan:
 
 
 def parse(text: str) -> Plan:
-    """A plan from JSON; ${name} stands for vars, an unknown one is an error."""
-    told = json.loads(text)
+    """A plan from JSON or YAML; ${name} stands for vars, an unknown one is an error."""
+    try:
+        told = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            raise ValueError("the plan is no JSON, and there is nothing here that reads YAML") from None
+        told = yaml.safe_load(text)
+    missing = [k for k in ("name", "plan_commit", "stages") if not isinstance(told, dict) or not told.get(k)]
+    if missing:
+        raise ValueError(f"the plan lacks {', '.join(missing)}")
     names = told.get("vars", {})
 
     def filled(x):
@@ -65,6 +77,25 @@ def dry_run(plan: Plan, available: set[str]) -> list[str]:
     return problems
 
 
+def external(script: str, spark: SparkSession, inputs: dict[str, DataFrame], outputs: list[str], folder: str, timeout: float = 3600) -> dict[str, DataFrame]:
+    """A stage by a tool of one's own: `script <input folder> <output folder>` on the driver's host.
+
+    Inputs are written as tab-separated folders below `folder`, which that host must see; each output is read back
+    from the output folder. An exit status other than zero, or an output that isn't there, is an error.
+    """
+    for name, df in inputs.items():
+        write_table(df, f"{folder}/in/{name}")
+    done = subprocess.run([script, f"{folder}/in", f"{folder}/out"], capture_output=True, text=True, timeout=timeout)
+    if done.returncode:
+        raise RuntimeError(f"{script} ended with {done.returncode}: {done.stderr.strip()[-500:]}")
+    found = {}
+    for name in outputs:
+        if not os.path.exists(f"{folder}/out/{name}"):
+            raise RuntimeError(f"{script} made no {name}")
+        found[name] = read_text_table(spark, f"{folder}/out/{name}", "\t")
+    return found
+
+
 def run(spark: SparkSession, plan: Plan, commands: dict[str, Callable[..., dict[str, DataFrame]]], tables: dict[str, DataFrame], last: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
     """Run the stages; a command takes (spark, inputs, **arguments) and returns its outputs by name.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from .tables import read_text_table
 LONG_EXPORT = (
     "SampleID", "Index", "OlinkID", "UniProt", "Assay", "MissingFreq", "Panel", "Panel_Lot_Nr", "PlateID", "QC_Warning", "LOD", "NPX", "Normalization", "Assay_Warning",
 )
-#: Columns of log-ratio matrices that hold no sample (fixed by the format).
-_NO_SAMPLE = r"(?i)(pool|reference|^qc|_qc|withdrawn)"
+#: Names of columns of log-ratio matrices that hold no biological sample (fixed value).
+NO_SAMPLE = r"^(?:TumorOnlyIR|NormalOnlyIR|QC\d*|Pool\d*|Reference|RefMix\d*)$"
 _SUMMARY_ROWS = ("mean", "median", "stddev")
 
 
@@ -52,13 +54,11 @@ def wide_matrix(raw: DataFrame, assay: str, samples: list[str]) -> DataFrame:
     return long.select("assay_id", "sample_id", number.alias("abundance"), number.isNull().alias("dropped_by_qc"))
 
 
-def log_ratio_matrix(raw: DataFrame, gene: str = "Gene") -> DataFrame:
+def log_ratio_matrix(raw: DataFrame, gene: str = "Gene", no_sample: str = NO_SAMPLE) -> DataFrame:
     """A log-ratio matrix: summary rows go, of the sample columns those ending in " Log Ratio" stay (not "Unshared"),
-    without pools, references and controls."""
+    without those whose name matches no_sample (pools, references, controls)."""
     end = " Log Ratio"
     keep = {c: c.removesuffix(end) for c in raw.columns if c.endswith(end) and not c.endswith(f"Unshared{end}")}
-    import re
-
-    keep = {c: s for c, s in keep.items() if not re.search(_NO_SAMPLE, s)}
+    keep = {c: s for c, s in keep.items() if not re.search(no_sample, s.strip())}
     rows = raw.where(~F.lower(F.trim(gene)).isin(*_SUMMARY_ROWS)).select(F.col(gene), *(F.col(f"`{c}`").alias(s) for c, s in keep.items()))
     return wide_matrix(rows, gene, list(keep.values()))

@@ -47,8 +47,8 @@ def _typed(name: str, kind: str) -> Column:
     return c if kind == "string" else c.cast(kind)
 
 
-def read_canonical(spark: SparkSession, path: str, columns: dict[str, str], extras: bool = False) -> DataFrame:
-    """A canonical table by its column types; extras keeps further columns as text."""
+def read_canonical(spark: SparkSession, path: str, columns: dict[str, str], extras: bool = False, keep: Column | None = None) -> DataFrame:
+    """A canonical table by its column types; extras keeps further columns as text, keep one more expression of the text."""
     raw = read_text_table(spark, path)
     missing = [c for c, kind in columns.items() if kind.endswith("*") and c not in raw.columns]
     if missing:
@@ -61,13 +61,51 @@ def read_canonical(spark: SparkSession, path: str, columns: dict[str, str], extr
         else:
             default = {"boolean": F.lit(False), "flag": F.lit("PASS")}.get(kind, F.lit(None).cast(kind if kind != "flag" else "string"))
             out.append(default.alias(c))
-    return raw.select(*out, *(F.col(f"`{c}`") for c in raw.columns if extras and c not in columns))
+    return raw.select(*out, *([] if keep is None else [keep]), *(F.col(f"`{c}`") for c in raw.columns if extras and c not in columns))
 
 
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
-    """Measurements; an empty abundance falls back on the raw one, and a cell without either must be a dropped one."""
-    df = read_canonical(spark, path, MEASUREMENTS).withColumn("abundance", F.coalesce("abundance", "abundance_raw"))
-    return df.withColumns({"platform": platform("platform"), "abundance_unit": unit("abundance_unit")})
+    """Measurements; an empty abundance falls back on the raw one, and a cell without either must be a dropped one.
+
+    NaN and infinities stand for missing values and are read as such; a cell that is empty though kept raises.
+    """
+    raw = read_text_table(spark, path)
+    both = [F.trim(F.col(c)) for c in ("abundance", "abundance_raw") if c in raw.columns]
+    empty = F.coalesce(*both).isNull() if both else F.lit(False)
+    df = read_canonical(spark, path, MEASUREMENTS, keep=empty.alias("_empty")).withColumn("abundance", F.coalesce("abundance", "abundance_raw"))
+    lost = F.col("_empty") & ~F.col("dropped_by_qc")
+    checked = F.when(lost, F.raise_error(F.concat(F.lit("no abundance though not dropped: "), F.col("sample_id"), F.lit(", "), F.col("assay_id"))).cast("double")).otherwise(F.col("abundance"))
+    return df.withColumns({"abundance": checked, "platform": platform("platform"), "abundance_unit": unit("abundance_unit")}).drop("_empty")
+
+
+def read_peptides(spark: SparkSession, path: str) -> DataFrame:
+    return read_canonical(spark, path, PEPTIDES)
+
+
+def read_peptide_measurements(spark: SparkSession, path: str) -> DataFrame:
+    """Peptide abundances; those that are no finite number are null."""
+    return read_canonical(spark, path, PEPTIDE_MEASUREMENTS)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """A wide score table: sample_id, cohort, condition, is_control, and every further column as numbers (else null)."""
+    raw = read_text_table(spark, path)
+    missing = [c for c in ("sample_id", "cohort", "condition") if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    known = ["sample_id", "cohort", "condition", "is_control"]
+    control = _typed("is_control", "boolean") if "is_control" in raw.columns else F.lit(False)
+    return raw.select(*known[:3], control.alias("is_control"), *(finite(F.expr(f"try_cast(`{c}` AS double)")).alias(c) for c in raw.columns if c not in known))
+
+
+def require_columns(samples: DataFrame, columns: list[str], numeric: bool = False) -> DataFrame:
+    """Samples with a value (numeric: a finite number) in every column; a column that isn't there is an error."""
+    for c in columns:
+        if c not in samples.columns:
+            raise ValueError(f"the samples have no column {c}")
+        text = F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit(""))
+        samples = samples.where(finite(text.try_cast("double")).isNotNull() if numeric else text.isNotNull())
+    return samples
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -182,9 +220,13 @@ def numeric_stem(c: str) -> Column:
 
 
 def content_hash(df: DataFrame) -> str:
-    """A hash of a table's rows, whatever their order, as 16 hex digits and a count."""
-    row = df.agg(F.bit_xor(F.xxhash64(*df.columns)).alias("x"), F.count("*").alias("n")).first()
-    return f"{(row['x'] or 0) & 0xFFFFFFFFFFFFFFFF:016x}:{row['n']}"
+    """A hash of a table's columns and rows, whatever the rows' order, as 16 hex digits and a count.
+
+    Rows' hashes are added up, not folded together, so that equal rows don't cancel each other.
+    """
+    names = int.from_bytes(hashlib.sha256(json.dumps(df.dtypes).encode()).digest()[:8])
+    row = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("x"), F.count("*").alias("n")).first()
+    return f"{(int(row['x'] or 0) + names) & 0xFFFFFFFFFFFFFFFF:016x}:{row['n']}"
 
 
 def sidecar(command: str, arguments: dict, inputs: dict[str, str], outputs: dict[str, str], started: datetime) -> str:
