@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from itertools import islice
@@ -17,18 +18,18 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _STAGED: list[str] = []
 _WORKER: dict = {}  # what this worker process keeps from task to task: one operator's state
-_PATHS: dict[int, str] = {}  # of the frames that staged() gave out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where spark.checkpoint.dir is unset, a local one (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one is made if all runs on
+    one machine (tests); on a cluster that is an error."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        existing = sc.getCheckpointDir()
-        named = existing or tempfile.mkdtemp(prefix="assayloom-")
-        if not existing:
-            sc.setCheckpointDir(named)
+        if not re.match(r"local(\[[^,\]]*(,\d+)?\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="assayloom-")
+        sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
@@ -51,14 +52,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # and what earlier steps shuffled, where nothing refers to it any more
     out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[id(out)] = path
+    out._staged_at = path
     return out
 
 
 def dropped(*frames: DataFrame) -> None:
     """Delete staged tables that nothing will read again."""
     for f in frames:
-        path = _PATHS.pop(id(f), None)
+        path = getattr(f, "_staged_at", None)
         if path in _STAGED:
             _delete(f.sparkSession, path)
             _STAGED.remove(path)

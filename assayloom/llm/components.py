@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (u, v), root being the smallest node reachable.
 
-    Each round is two group-and-join steps whose result goes to the shared folder. Minima are pre-aggregated, and a
+    Each round is two group-and-join steps whose result goes to the shared folder in place of the last one. Minima are pre-aggregated, and a
     node with very many edges is split by Spark's skew join. Self-loops, nulls and repeated edges change nothing.
     """
     lo, hi = F.least("u", "v"), F.greatest("u", "v")
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
             break
         before = now
         turned = _large_star(state).where("u <> v").distinct()
-        state = staged(_small_star(turned).where("u <> v").distinct(), "edges")
+        last, state = state, staged(_small_star(turned).where("u <> v").distinct(), "edges")
+        dropped(last)
     else:
         raise RuntimeError(f"the components aren't settled after {max_rounds} rounds")
     roots = state.select(F.col("u").alias("node"), F.col("v").alias("root"))
