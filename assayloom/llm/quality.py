@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, with_columns
+from .common import chunks, with_columns, worker_state
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
@@ -173,7 +173,10 @@ def fit_trees(
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most `max_rows` labelled documents: those whose ids come first by hash."""
+    """Features and labels of at most `max_rows` labelled documents: those whose ids come first by hash.
+
+    Of several labels, and of several rows of a document's id, the least counts, so that the bound holds.
+    """
     chosen = (
         labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -183,14 +186,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> tuple[np
     def features(batches):
         for b in (part for batch in batches for part in chunks(batch, 0, 4_000_000)):
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), pa.array([describe(t)[1] for t in b.column(0).to_pylist()], pa.list_(pa.float64()))],
-                names=["quality", "x"],
+                [b.column(2), b.column(1), pa.array([describe(t)[1] for t in b.column(0).to_pylist()], pa.list_(pa.float64()))],
+                names=["doc_id", "quality", "x"],
             )
 
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .select("text", F.col("quality").cast("int").alias("quality"))
-        .mapInArrow(features, "quality int, x array<double>").limit(2 * max_rows).toPandas()
+        .select("text", F.col("quality").cast("int").alias("quality"), "doc_id")
+        .mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<double>")
+        .groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("least")).select("least.*").toPandas()
     )
     if not len(rows):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
@@ -233,6 +237,7 @@ def judge_quality(
     def judge(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        worker_state()  # what another operator may have left in this process
         schema, trees = to_arrow_schema(out), model.value
         for b in (part for batch in batches for part in chunks(batch, at, 4_000_000)):
             found = [describe(t) for t in b.column(at).to_pylist()]
