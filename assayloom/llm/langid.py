@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import chunks
@@ -161,25 +161,28 @@ def predict(model: dict | None, texts: list[str | None], limit: int = 2_000_000)
     return langs, scores
 
 
-def identify_languages(docs: DataFrame, *, max_rows_per_language: int = 600) -> DataFrame:
+def identify_languages(docs: DataFrame, *, max_rows_per_language: int = 600, max_languages: int = 200) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
     held_out: crc32 of the id as text leaves 2 on division by 4; such rows, and those without lang or id, teach
-    nothing. The model is fitted on the driver on at most `max_rows_per_language` rows of each language, those whose
-    ids come first by hash (the only bounded sample), from their whole texts. Predictions use the text alone, whole
+    nothing. The model is fitted on the driver on at most `max_rows_per_language` documents of each language, those whose
+    ids come first by hash (the only bounded sample), from their whole texts; and for the `max_languages` languages of
+    most rows, which bounds the model that is broadcast. Predictions use the text alone, whole
     and by itself: no shuffle of texts. Null or letterless text: "und", 0; so is everything where nothing was learned.
     Repeated rows give repeated results, ties go to the language that sorts first, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     usable = docs.where(~held_out & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-    names = [r[0] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").toLocalIterator()]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     rows = []
-    if names:
-        chosen = reduce(
-            DataFrame.union,
-            (usable.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows_per_language) for x in names),
-        ).distinct()
+    if counts:
+        # each task lets pass three times the rows wanted of a language, by their ids' hash; of these the first ones count
+        share = [(r["lang"], min(1 << 30, 1 + (3 * max_rows_per_language << 30) // r["n"])) for r in counts]
+        limits = F.broadcast(spark.createDataFrame(share, "lang string, below bigint"))  # max_languages rows
+        drawn = usable.join(limits, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below")).select("doc_id", "lang").distinct()
+        place = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+        chosen = drawn.withColumn("place", place).where(F.col("place") <= max_rows_per_language).select("doc_id", "lang")
 
         def features(batches):
             for batch in batches:
