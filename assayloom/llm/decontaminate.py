@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, with_columns
+from .common import chunks, with_columns, worker_state
 
 #: Words are runs of other characters than U+0000-2F, 3A-60 and 7B-7F, after A-Z became a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -197,7 +197,8 @@ def decontaminate(
 
     Documents are read once, each by itself: no shuffle, nothing to skew. The items are broadcast as automata of a
     fixed size; if there are several, tasks load them one after another. Null text has no words; null item ids are
-    left out; repeated items or rows change nothing but repeated results; an empty benchmark contaminates nothing.
+    left out; repeated items or rows change nothing but repeated results (so there are no ties); an empty benchmark
+    contaminates nothing, an empty table of documents gives an empty one.
     """
     held = automata(benchmark, width, words_per_automaton)
     source = docs if clean else docs.select("doc_id", "text")
@@ -214,6 +215,7 @@ def decontaminate(
     def scan(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        worker_state()  # what another operator may have left in this process
         schema = to_arrow_schema(out)
         for b in (part for batch in batches for part in chunks(batch, at, 2_000_000)):
             texts = b.column(at).to_pylist()

@@ -46,7 +46,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind"] != "novel")
     return found.select(
-        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans")
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda x: F.format_string("%.3f", x["novelty"])), ",").alias("novelty"),
     )
 
 
@@ -108,7 +109,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_ITEM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE: dict[str, str] = {
+    # documents and items are told apart by number, so that rows of one id stay apart
+    "op8_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_ITEM_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+g AS (SELECT DISTINCT item, len(w) AS n, list_slice(w, s, s + least(13, len(w)) - 1) AS v FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(v) AS n FROM g),
+p AS (SELECT k, s, n, list_slice(w, s, s + n - 1) AS v FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS t(s) WHERE len(w) >= n AND w[s] IN (SELECT v[1] FROM g)),
+h AS (SELECT p.k, p.s, p.n, g.item FROM p JOIN g ON g.v = p.v),
+c AS (SELECT k, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT k, s, n FROM h), unnest(range(s, s + n)) AS t(pos) GROUP BY k),
+o AS (SELECT k, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS items FROM (SELECT DISTINCT k, item FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN o USING (k)""",
     "op6_url_filter": rf"""
 WITH p AS (
   SELECT page_id,

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, with_columns
+from .common import chunks, with_columns, worker_state
 
 #: Kinds in their order of report; "novel" spans come from the compression test.
 KINDS = ("assign", "access", "hex", "novel")
@@ -142,7 +142,7 @@ def scan_secrets(
     columns instead, with every span replaced by `mark` (n_chars follows where there is such a column); no row goes.
 
     Each text is scanned whole and by itself: no shuffle, nothing to skew. Null text counts as empty (with redact it
-    stays null); null ids and repeated rows stay; an empty table gives an empty one; other columns aren't read
+    stays null); null ids and repeated rows stay (equal texts have equal spans, so there are no ties); an empty table gives an empty one; other columns aren't read
     unless they are returned.
     """
     source = docs if redact else docs.select("doc_id", "text")
@@ -158,6 +158,7 @@ def scan_secrets(
     def scan(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        worker_state()  # what another operator may have left in this process
         schema, novelty = to_arrow_schema(out), Novelty()
         for b in (part for batch in batches for part in chunks(batch, at, 4_000_000)):
             texts = b.column(at).to_pylist()
