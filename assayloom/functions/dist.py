@@ -198,17 +198,24 @@ def ptukey(q: float, groups: int, df: float) -> float:
     return 0.0 if q <= 0 else min(1.0, _over_scale(df, lambda s: _range_cdf(q * s, groups)))
 
 
-def pdunnett(q: float, others: int, df: float, rho: float = 0.5) -> float:
-    """P(max |T_i| <= q) for equally correlated comparisons with one control."""
+def pdunnett(q: float, others: int, df: float, rho: float | np.ndarray = 0.5) -> float:
+    """P(max |T_i| <= q) for comparisons with one control.
+
+    rho: their common correlation; or for each other group n_i / (n_i + n_control), where two comparisons are
+    correlated by the root of the product of theirs (groups of different size).
+    """
     if q <= 0:
         return 0.0
     x, weight = np.polynomial.legendre.leggauss(64)
-    z = 8 * x
+    z, share = 8 * x, np.broadcast_to(np.asarray(rho, float), (others,))
 
     def inside(s: np.ndarray) -> np.ndarray:
-        up = (q * s[:, None] + math.sqrt(rho) * z[None, :]) / math.sqrt(1 - rho)
-        low = (-q * s[:, None] + math.sqrt(rho) * z[None, :]) / math.sqrt(1 - rho)
-        return 8 * (weight * _norm_pdf(z) * np.maximum(norm_cdf(up) - norm_cdf(low), 0) ** others).sum(1)
+        every = np.ones((len(s), len(z)))
+        for r, n in zip(*np.unique(share, return_counts=True), strict=True):
+            up = (q * s[:, None] + math.sqrt(r) * z[None, :]) / math.sqrt(1 - r)
+            low = (-q * s[:, None] + math.sqrt(r) * z[None, :]) / math.sqrt(1 - r)
+            every *= np.maximum(norm_cdf(up) - norm_cdf(low), 0) ** n
+        return 8 * (weight * _norm_pdf(z) * every).sum(1)
 
     return min(1.0, _over_scale(df, inside))
 

@@ -316,7 +316,10 @@ def peptide_model(df: DataFrame, feature: str, value: str, factors: dict[str, li
 
 
 def posthoc(df: DataFrame, keys: list[str], value: str, factor: str, levels: list[str], method: str, numeric: list[str] | None = None) -> DataFrame:
-    """All pairs of a factor's levels ("sidak", "tukey") or each against the first ("dunnett"), adjusted for numeric columns."""
+    """All pairs of a factor's levels ("sidak", "tukey") or each against the first ("dunnett"), adjusted for numeric columns.
+
+    Against the first, groups whose sizes differ by more than a quarter get the correlations of their own sizes.
+    """
     numeric = numeric or []
     used = [value, factor, *numeric]
 
@@ -341,7 +344,9 @@ def posthoc(df: DataFrame, keys: list[str], value: str, factor: str, levels: lis
             elif method == "tukey":
                 adjusted = 1 - dist.ptukey(abs(t) * math.sqrt(2), len(levels), f.df)
             else:
-                adjusted = 1 - dist.pdunnett(abs(t), len(pairs), f.df)
+                n = np.array([(rows[factor] == lv).sum() for lv in levels], float)
+                uneven = n.max() / max(n[n > 0].min(), 1) > 1.25
+                adjusted = 1 - dist.pdunnett(abs(t), len(pairs), f.df, np.maximum(n[1:], 1) / (np.maximum(n[1:], 1) + n[0]) if uneven else 0.5)
             out.append({"level_a": a, "level_b": b, "estimate": est, "se": se, "t": t, "df": float(f.df), "p_value": p, "p_adjusted": float(min(1, max(0, adjusted)))})
         return out
 
@@ -445,3 +450,52 @@ def squeeze(fits: DataFrame) -> DataFrame:
     return fits.withColumnRenamed(fits.columns[0], "feature").groupBy(F.lit(1).alias("_all")).applyInPandas(  # a row for each feature and term
         run, "feature string, term string, estimate double, n_peptides bigint, s2_post double, df_total double, se double, t double, p_value double, df_prior double, s2_prior double"
     )
+
+
+def f_fits(df: DataFrame, feature: str, value: str, numeric: list[str], factors: dict[str, list[str]], tested: str) -> DataFrame:
+    """One row per feature for moderate_f(): the factor's F, its number of columns, s2, df."""
+    used = [value, *numeric, *factors]
+
+    def fit(rows: pd.DataFrame) -> list[dict]:
+        rows = rows.dropna(subset=used)
+        x, names = design(rows, numeric, factors)
+        f = Fit(x, rows[value].to_numpy(float))
+        at = [i for i, n in enumerate(names) if n.startswith(f"{tested}[")]
+        if not f.ok or not at or f.s2 <= 0:
+            return []
+        return [{"f": f.omnibus(at)[0], "n_columns": len(at), "s2": f.s2, "df": float(f.df)}]
+
+    out = per_feature(df.select(feature, *used), [feature], fit, "f double, n_columns bigint, s2 double, df double")
+    return out.withColumnRenamed(feature, "feature") if feature != "feature" else out
+
+
+def moderate_f(fits: DataFrame) -> DataFrame:
+    """Empirical-Bayes F tests of f_fits(): F over the shrunken variance, with the prior's degrees of freedom added."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("feature")
+        s2, df = rows["s2"].to_numpy(float), np.full(len(rows), rows["df"].max(), float)
+        s0, d0 = prior(s2, df)
+        post = np.full(len(s2), s0) if math.isinf(d0) else (d0 * s0 + df * s2) / (d0 + df)
+        f, total, k = rows["f"].to_numpy(float) * s2 / post, df + d0, rows["n_columns"].to_numpy(float)
+        return pd.DataFrame({"feature": rows["feature"], "f": f, "df1": rows["n_columns"], "df2": np.where(np.isinf(total), None, total), "p_value": dist.f_sf(f, k, total), "s2_post": post})
+
+    return fits.groupBy(F.lit(1).alias("_all")).applyInPandas(run, "feature string, f double, df1 bigint, df2 double, p_value double, s2_post double")  # a row for each feature
+
+
+def covariate_levels(samples: DataFrame, columns: list[str]) -> tuple[list[str], dict[str, list[str]]]:
+    """Which columns are numeric (every value is a number) and the others' levels in order, for a design.
+
+    A factor of one level, or of none, says nothing and is an error; so is a column that isn't there.
+    """
+    for c in columns:
+        if c not in samples.columns:
+            raise ValueError(f"the samples have no column {c}")
+    text = {c: F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns}
+    row = samples.agg(*(F.bool_and(v.isNull() | v.try_cast("double").isNotNull()).alias(f"n_{c}") for c, v in text.items()), *(F.count(v).alias(f"k_{c}") for c, v in text.items())).first()
+    numeric = [c for c in columns if row[f"n_{c}"] and row[f"k_{c}"]]
+    factors = {c: sorted(r[0] for r in samples.select(text[c].alias("v")).where("v IS NOT NULL").distinct().limit(1000).collect()) for c in columns if c not in numeric}
+    for c, levels in factors.items():
+        if not 2 <= len(levels) < 1000:
+            raise ValueError(f"{c} has {len(levels)} levels")
+    return numeric, factors

@@ -116,25 +116,43 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("the components have not settled")
 
 
+def absence_distances(observed: DataFrame, axis: str, other: str, every: DataFrame | None = None, min_absent: int = 0) -> DataFrame:
+    """(a, b, both, distance), a < b: how many of `other` both ids of `axis` lack, and the Jaccard distance of what they
+    lack; two that lack nothing have distance 0. Ids that lack fewer than min_absent take no part.
+
+    observed: rows that exist, whatever their values; every: all ids of `axis`, where some have no row. What both lack
+    follows from what each and both have, so the absent cells, which are most, are never made; ids that share something
+    are joined over it. The number of pairs is counted first and limited.
+    """
+    seen = observed.select(F.col(axis).alias("x"), F.col(other).alias("y")).distinct()
+    ids = seen.select("x").distinct() if every is None else every.select(F.col(axis).alias("x")).distinct()
+    total = seen.select("y").distinct().agg(F.count("*").alias("total"))
+    sizes = ids.join(seen.groupBy("x").agg(F.count("*").alias("n")), "x", "left").select("x", F.coalesce("n", F.lit(0)).alias("n")).crossJoin(F.broadcast(total))
+    sizes = sizes.where(F.col("total") - F.col("n") >= min_absent)
+    check_edges(sizes.count())
+    a, b = (sizes.select(F.col("x").alias(s), F.col("n").alias(f"n{s}"), *(["total"] if s == "a" else [])) for s in "ab")
+    part = seen.join(sizes.select("x"), "x", "left_semi")
+    both = part.withColumnRenamed("x", "a").join(part.withColumnRenamed("x", "b"), "y").where("a < b").groupBy("a", "b").agg(F.count("*").alias("have"))
+    x = a.join(b, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    x = x.withColumn("both", F.col("total") - F.col("na") - F.col("nb") + F.col("have"))
+    union = F.col("total") - F.col("have")
+    return x.select("a", "b", "both", F.when(union == 0, 0.0).otherwise(1 - F.col("both") / F.when(union > 0, union)).alias("distance"))
+
+
 def absence_pairs(observed: DataFrame, axis: str, other: str, min_absent: int, threshold: float) -> DataFrame:
-    """Pairs of features whose sets of absent samples are within a Jaccard distance (sides swapped for samples).
+    """Pairs of features whose sets of absent samples meet and are within a Jaccard distance (sides swapped for samples).
 
-    observed: rows that exist, whatever their values. Distance of two empty sets is 0, but these have too few absences.
+    observed: rows that exist, whatever their values.
     """
-    seen = observed.select(axis, other).distinct()
-    grid = seen.select(axis).distinct().crossJoin(seen.select(other).distinct())
-    absent = grid.join(seen, [axis, other], "left_anti")
-    size = absent.groupBy(axis).agg(F.count("*").alias("n")).where(F.col("n") >= min_absent)
-    a = absent.join(size, axis)
-    both = a.select(F.col(axis).alias("a"), other, F.col("n").alias("na")).join(a.select(F.col(axis).alias("b"), other, F.col("n").alias("nb")), other).where("a < b")
-    g = both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return g.withColumn("distance", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("distance") <= threshold)
+    return absence_distances(observed, axis, other, min_absent=min_absent).where((F.col("both") > 0) & (F.col("distance") <= threshold))
 
 
 def program_similarity(loadings: DataFrame, metric: str, top_n: int = 5) -> DataFrame:
     """Similarity of programs of different cohorts (cohort, program, feature, loading): Jaccard of the top features, or
-    absolute cosine or Spearman over shared ones; a_cohort < b_cohort."""
+    absolute cosine (centred: of loadings less their program's mean) or Spearman over shared ones; a_cohort < b_cohort."""
     rows = top_abs(loadings, "loading", top_n, ["cohort", "program"], "feature") if metric == "jaccard" else loadings
+    if metric == "centred-cosine":
+        rows = rows.withColumn("loading", F.col("loading") - F.avg("loading").over(W.partitionBy("cohort", "program")))
     side = lambda s: rows.select(F.col("cohort").alias(f"{s}_cohort"), F.col("program").alias(f"{s}_program"), "feature", F.col("loading").alias(f"{s}_l"))
     key = ["a_cohort", "a_program", "b_cohort", "b_program"]
     if metric == "jaccard":

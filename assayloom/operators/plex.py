@@ -10,27 +10,12 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import numeric_stem
 from .differential import parse_comparisons
-from .network import check_edges, components
+from .network import absence_distances, components
 
 
 def distances(observed: DataFrame, axis: str, other: str, every: DataFrame | None = None) -> DataFrame:
-    """(a, b, distance), a < b: Jaccard distance of what two samples lack, for all pairs; two that lack nothing have 0.
-
-    observed: rows that exist, whatever their values; every: all ids of `axis`, where some have no row. What both lack
-    follows from what either has, so only pairs that share a feature are joined. The number of pairs is limited.
-    """
-    seen = observed.select(F.col(axis).alias("x"), F.col(other).alias("y")).distinct()
-    ids = seen.select("x").distinct() if every is None else every.select(F.col(axis).alias("x")).distinct()
-    check_edges(ids.count())
-    total = seen.select("y").distinct().agg(F.count("*").alias("total"))
-    size = ids.join(seen.groupBy("x").agg(F.count("*").alias("n")), "x", "left").select("x", F.coalesce("n", F.lit(0)).alias("n"))
-    a, b = (size.withColumnsRenamed({"x": s, "n": f"n{s}"}) for s in "ab")
-    pairs = a.join(b, F.col("a") < F.col("b"))
-    both = seen.withColumnRenamed("x", "a").join(seen.withColumnRenamed("x", "b"), "y").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    x = pairs.join(both, ["a", "b"], "left").crossJoin(F.broadcast(total)).withColumn("both", F.coalesce("both", F.lit(0)))
-    union = F.col("total") - F.col("both")
-    inner = F.col("total") - F.col("na") - F.col("nb") + F.col("both")
-    return x.select("a", "b", F.when(union == 0, 0.0).otherwise(1 - inner / F.when(union > 0, union)).alias("distance"))
+    """(a, b, distance) of all pairs of samples, by what they lack; see absence_distances()."""
+    return absence_distances(observed, axis, other, every).select("a", "b", "distance")
 
 
 def clusters(pairs: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.columns import bh_fdr
 from ..functions.rng import stream
 from .decompose import bca
 
@@ -99,32 +100,45 @@ def running_peak(hit: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def gsea(ranked: DataFrame, sets: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
     """ES, NES and p from gene permutations of the same sign: p = (extreme + 1) / (same sign + 1); without any, NES is null.
+    leading_edge: the set's genes up to the peak (after it, where ES is negative), in order. q-values within `by`.
 
-    Each set's genes come with the whole ranking of `by` to one task: features, not measurements.
+    A ranking goes once to each of `parts` groups of sets, not once to each set; draws are made a hundred at a time.
     """
-    members = sets.groupBy("set_name").agg(F.collect_set("gene_symbol").alias("members"))
-    rows = ranked.crossJoin(members)  # rankings by sets
+    parts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = ranked.select(*by, "gene_symbol", "stat").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ranked.select(*(F.col(c).alias(c) for c in by)).distinct()  # other columns than the ranking's, though of its names
+    dealt = sets.select("set_name", "gene_symbol").distinct().withColumn("part", F.pmod(F.xxhash64("set_name"), F.lit(parts)).cast("int")).join(keys)  # sets by comparisons
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "set_name", "es", "nes", "p_value", "n_same_sign"]
+    def fit(key: tuple, rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "set_name", "es", "nes", "p_value", "n_same_sign", "leading_edge"]
         rows = rows.sort_values(["stat", "gene_symbol"], ascending=[False, True])
-        inside, size = set(rows["members"].iloc[0]), np.abs(rows["stat"].to_numpy(float))
-        hit = rows["gene_symbol"].isin(inside).to_numpy()
-        k = int(hit.sum())
-        if not 0 < k < len(hit):
-            return pd.DataFrame(columns=names)
-        es = float(running_peak(hit[None, :], size)[0])
-        order = np.argsort(stream(seed, *key).random((n, len(hit))), 1)
-        drawn = np.zeros((n, len(hit)), bool)
-        np.put_along_axis(drawn, order[:, :k], True, 1)
-        null = running_peak(drawn, size)
-        same = null[np.sign(null) == np.sign(es)]
-        p = (int((np.abs(same) >= abs(es) - 1e-12).sum()) + 1) / (len(same) + 1) if len(same) else 1 / (n + 1)
-        nes = es / float(np.abs(same).mean()) if len(same) else None
-        return pd.DataFrame([[*key, es, nes, p, len(same)]], columns=names)
+        genes, size, out = rows["gene_symbol"], np.abs(rows["stat"].to_numpy(float)), []
+        for name, own in members.groupby("set_name"):
+            hit = genes.isin(set(own["gene_symbol"])).to_numpy()
+            k = int(hit.sum())
+            if not 0 < k < len(hit):
+                continue
+            es = float(running_peak(hit[None, :], size)[0])
+            g, null = stream(seed, *key[:-1], name), []
+            for at in range(0, n, 100):
+                order = np.argsort(g.random((min(100, n - at), len(hit))), 1)
+                drawn = np.zeros(order.shape, bool)
+                np.put_along_axis(drawn, order[:, :k], True, 1)
+                null.append(running_peak(drawn, size))
+            every = np.concatenate(null)
+            same = every[np.sign(every) == np.sign(es)]
+            p = (int((np.abs(same) >= abs(es) - 1e-12).sum()) + 1) / (len(same) + 1) if len(same) else 1 / (n + 1)
+            nes = es / float(np.abs(same).mean()) if len(same) else None
+            run = np.cumsum(np.where(hit, size / max(size[hit].sum(), 1e-300), -1 / (len(hit) - k)))
+            peak = int(np.abs(run).argmax())
+            edge = genes[hit & (np.arange(len(hit)) <= peak if es > 0 else np.arange(len(hit)) > peak)]
+            out.append([*key[:-1], name, es, nes, p, len(same), ",".join(edge)])
+        return pd.DataFrame(out, columns=names)
 
     schema = ", ".join(f"`{k}` {ranked.schema[k].dataType.simpleString()}" for k in by)
-    return rows.groupBy(*by, "set_name").applyInPandas(fit, f"{schema}, set_name string, es double, nes double, p_value double, n_same_sign bigint")
+    both = numbered.groupBy(*by, "part").cogroup(dealt.groupBy(*by, "part"))
+    found = both.applyInPandas(fit, f"{schema}, set_name string, es double, nes double, p_value double, n_same_sign bigint, leading_edge string")
+    return found.withColumn("q_value", bh_fdr("p_value", by, ["set_name"]))
 
 
 def resample_within(g: np.random.Generator, groups: list[np.ndarray]) -> list[np.ndarray]:

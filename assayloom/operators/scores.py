@@ -62,17 +62,20 @@ def over_representation(queries: DataFrame, sets: DataFrame, universe: DataFrame
 def enrichment_scores(ranked: DataFrame, sets: DataFrame, by: list[str], power: float = 1.0) -> DataFrame:
     """Running-sum enrichment score of each set: hits step up by |stat|^power, misses down evenly; the first largest
     deviation counts. ranked: by, gene_symbol, stat; genes in order of falling stat, then name."""
-    members = sets.groupBy("set_name").agg(F.collect_set("gene_symbol").alias("_members"))
-    rows = ranked.crossJoin(members).withColumn("_hit", F.array_contains("_members", F.col("gene_symbol"))).drop("_members")  # genes by sets, no pairs of genes
-    g = W.partitionBy(*by, "set_name")
-    step = F.when(F.col("_hit"), F.pow(F.abs("stat"), F.lit(power))).otherwise(0.0)
-    rows = rows.withColumn("_up", step).withColumn("_nr", F.sum("_up").over(g)).withColumn("_n", F.count("*").over(g)).withColumn("_nh", F.sum(F.col("_hit").cast("int")).over(g))
-    move = F.when(F.col("_hit"), F.try_divide(F.col("_up"), F.col("_nr"))).otherwise(-F.try_divide(F.lit(1.0), (F.col("_n") - F.col("_nh")).cast("double")))
-    order = g.orderBy(F.desc("stat"), "gene_symbol")
-    rows = rows.where("_nh > 0 AND _nh < _n").withColumn("_move", move)
-    rows = rows.withColumn("_run", F.sum("_move").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_i", F.row_number().over(order))
-    best = F.struct(F.round(F.abs("_run"), 12), -F.col("_i"))
-    return rows.groupBy(*by, "set_name").agg(F.max_by("_run", best).alias("es"), F.max_by("_i", best).cast("long").alias("peak"), F.first("_nh").cast("long").alias("n_members"))
+    g = W.partitionBy(*by)
+    r = ranked.withColumn("_i", F.row_number().over(g.orderBy(F.desc("stat"), "gene_symbol"))).withColumn("_n", F.count("*").over(g))
+    # between two hits the sum only falls, so it is largest after a hit and least before one: hits are all that is needed
+    w = W.partitionBy(*by, "set_name")
+    o = w.orderBy("_i")
+    h = r.join(sets.select("set_name", "gene_symbol").distinct(), "gene_symbol").withColumn("_up", F.pow(F.abs("stat"), F.lit(power)))
+    h = h.withColumn("_nr", F.sum("_up").over(w)).withColumn("_nh", F.count("*").over(w)).where("_nh < _n")
+    h = h.withColumn("_k", F.row_number().over(o)).withColumn("_sum", F.sum("_up").over(o.rowsBetween(W.unboundedPreceding, 0)))
+    fall = (F.col("_i") - F.col("_k")) / (F.col("_n") - F.col("_nh")).cast("double")
+    after = F.struct((F.try_divide(F.col("_sum"), F.col("_nr")) - fall).alias("run"), F.col("_i").alias("i"))
+    before = F.struct((F.try_divide(F.col("_sum") - F.col("_up"), F.col("_nr")) - fall).alias("run"), (F.col("_i") - 1).alias("i"))
+    x = h.select(*by, "set_name", "_nh", F.explode(F.array(after, before)).alias("x")).select(*by, "set_name", "_nh", "x.run", "x.i").where("i > 0")
+    best = F.struct(F.round(F.abs("run"), 12), -F.col("i"))
+    return x.groupBy(*by, "set_name").agg(F.max_by("run", best).alias("es"), F.max_by("i", best).cast("long").alias("peak"), F.first("_nh").cast("long").alias("n_members"))
 
 
 def rank_statistic(de: DataFrame, by: str) -> DataFrame:

@@ -96,7 +96,7 @@ def de_ensemble_p(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.detectability(spark, sf_dir).withColumn("comparison", F.lit("A-R"))
+    return models._detectability(spark, sf_dir).withColumn("comparison", F.lit("A-R"))
 
 
 def detectability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +183,43 @@ def align_bootstrap_bca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best.mapInPandas(run, "cohort string, n bigint, mean_similarity double, ci_low double, ci_high double"), 5)
 
 
+def limma_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moderated F tests over all conditions."""
+    return rounded(L.moderate_f(L.f_fits(effective_rows(spark, sf_dir), "gene_symbol", "abundance", [], models.LEVELS, "condition")), 5)
+
+
+def limma_f_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the moderated F tests start from: each gene's own F and variance."""
+    return rounded(L.f_fits(effective_rows(spark, sf_dir), "gene_symbol", "abundance", [], models.LEVELS, "condition"), 5)
+
+
+def limma_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the moderated t tests start from: the contrast of two conditions beside the third, and the pooled variance."""
+    return rounded(models._fits(spark, sf_dir), 5)
+
+
+def align_centred_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.program_similarity(networks._loadings(spark, sf_dir), "centred-cosine"))
+
+
+def decompose_ica_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loadings of every component and feature, from the first seed."""
+    return rounded(D.ica_runs(spark, models._scores(spark, sf_dir), 4, 1).drop("seed"), 4)
+
+
+def decompose_nmf_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both factors of one run as long rows: what each sample has of a program, and each program of a feature."""
+    wide = models._scores(spark, sf_dir)
+    x = spark.sparkContext.broadcast((np.power(2.0, np.clip(wide.to_numpy(), -6, 6)), [str(i) for i in wide.index], [str(c) for c in wide.columns]))
+
+    def kernel(seed: int) -> list[tuple]:
+        values, rows, columns = x.value
+        f = D.nmf(values, 3, seed)
+        return [("sample", r, k, float(f["w"][i, k])) for i, r in enumerate(rows) for k in range(3)] + [("feature", c, k, float(f["h"][k, j])) for j, c in enumerate(columns) for k in range(3)]
+
+    return rounded(D.seeds(spark, kernel, 1, "axis string, name string, program bigint, value double"), 4)
+
+
 def paired_t_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Critical values of t for the comparisons' degrees of freedom."""
     n = T.paired(T.pairs(armed(spark, sf_dir), KEY), KEY).where("df IS NOT NULL").select("df").distinct()
@@ -192,7 +229,8 @@ def paired_t_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS = (
     de_driver_paired, de_driver_welch, de_driver_moderated, de_driver_adjusted, de_driver_proxy, de_driver_overrides, de_driver_paired_by, de_driver_mixed, de_driver_limma, de_driver_report,
     de_ensemble, de_ensemble_p, detectability_summary, weighted_summary, recover_plex, recover_plex_quality, plex_pairs, bootstrap_program, archetype_summary, align_sweep, endmember_ora,
-    msqrob_squeezed, stratified_draws, align_bootstrap_bca, paired_t_bounds,
+    msqrob_squeezed, stratified_draws, align_bootstrap_bca, paired_t_bounds, limma_f, limma_f_fits, limma_fits, align_centred_cosine,
+    decompose_ica_loadings, decompose_nmf_factors,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -420,6 +458,24 @@ SELECT *, {_HYPER} AS p_value FROM (
       SELECT *, row_number() OVER (PARTITION BY condition ORDER BY level DESC, gene_symbol) AS p FROM (SELECT condition, gene_symbol, avg(abundance) AS level FROM eff GROUP BY ALL)) WHERE p <= 8) t
   CROSS JOIN (SELECT set_name, count(*) AS n_set FROM gst WHERE gene_symbol IN (SELECT gene_symbol FROM eff) GROUP BY ALL) s LEFT JOIN gst g ON g.set_name = s.set_name AND g.gene_symbol = t.gene_symbol GROUP BY ALL)"""),
         plain=("endmember", "set_name", "n_hits", "n_set", "n_universe", "n_overlap")),
+    "limma_f_fits": _V + """
+SELECT gene_symbol AS feature, round(((sst - sse) / 2) / (sse / (n - 3)), 5) + 0.0 AS f, CAST(2 AS BIGINT) AS n_columns, round(sse / (n - 3), 5) + 0.0 AS s2, CAST(n - 3 AS DOUBLE) AS df FROM (
+  SELECT gene_symbol, sum(k) AS n, sum(v * (k - 1)) AS sse FROM (SELECT gene_symbol, condition, count(*) AS k, var_samp(abundance) AS v FROM eff GROUP BY ALL) GROUP BY gene_symbol)
+JOIN (SELECT gene_symbol, var_samp(abundance) * (count(*) - 1) AS sst FROM eff GROUP BY ALL) USING (gene_symbol)""",
+    "limma_fits": _V + """
+SELECT gene_symbol AS feature, round(mn - ma, 5) + 0.0 AS estimate, round(1.0 / kn + 1.0 / ka, 5) + 0.0 AS unscaled, round(sse / (n - 3), 5) + 0.0 AS s2, CAST(n - 3 AS DOUBLE) AS df, round(mean, 5) + 0.0 AS mean, CAST(n AS BIGINT) AS count FROM (
+  SELECT gene_symbol, sum(k) AS n, sum(v * (k - 1)) AS sse, sum(k * m) / sum(k) AS mean, any_value(m) FILTER (condition = 'A') AS ma, any_value(m) FILTER (condition = 'N') AS mn, any_value(k) FILTER (condition = 'A') AS ka, any_value(k) FILTER (condition = 'N') AS kn
+  FROM (SELECT gene_symbol, condition, count(*) AS k, avg(abundance) AS m, var_samp(abundance) AS v FROM eff GROUP BY ALL) GROUP BY gene_symbol)""",
+    "align_centred_cosine": networks._V + """,
+cen AS (SELECT cohort, program, feature, loading - avg(loading) OVER (PARTITION BY cohort, program) AS loading FROM ldg)
+SELECT a.cohort AS a_cohort, a.program AS a_program, b.cohort AS b_cohort, b.program AS b_program, round(abs(sum(a.loading * b.loading) / sqrt(sum(a.loading * a.loading) * sum(b.loading * b.loading))), 6) + 0.0 AS similarity
+FROM cen a JOIN cen b ON a.feature = b.feature AND a.cohort < b.cohort GROUP BY ALL""",
+    "decompose_variance": _V + f""",
+l AS (SELECT *, CASE WHEN condition = 'L0' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM (UNPIVOT (SELECT cohort, condition, s1, s2, s3, s4, s5, s6, s7, s8 FROM sco) ON s1, s2, s3, s4, s5, s6, s7, s8 INTO NAME program VALUE y)),
+r AS (SELECT program, y - avg(y) OVER c AS yr, x - avg(x) OVER c AS xr, y - avg(y) OVER (PARTITION BY program, condition) AS yc FROM l WINDOW c AS (PARTITION BY program, cohort)),
+g AS (SELECT program, sum(xr * yr) * sum(xr * yr) / sum(xr * xr) AS own, sum(yr * yr) - own AS rest, sum(yc * yc) - rest AS other, CAST(count(*) - 4 AS DOUBLE) AS dof FROM r GROUP BY program)
+SELECT program, 'condition' AS factor, round(own, 6) + 0.0 AS ss, CAST(1 AS BIGINT) AS df, round(own / (rest / dof), 6) + 0.0 AS f, round({t_p_sql('sqrt(own / (rest / dof))', 'dof')}, 6) + 0.0 AS p_value FROM g
+UNION ALL SELECT program, 'cohort', round(other, 6) + 0.0, 2, round(other / 2 / (rest / dof), 6) + 0.0, round(pow(1 + other / rest, -dof / 2), 6) + 0.0 FROM g""",
     "paired_t_bounds": _V + f"SELECT df, round(crit, 5) AS critical FROM ({_t_quantile(f'SELECT DISTINCT df FROM ({_PAIRED_SQL}) WHERE df IS NOT NULL')})",
     "paired_t_interval": _V + f"""
 SELECT {_KEYS}, round(mean_diff - crit * sd / sqrt(n), 6) + 0.0 AS ci_low, round(mean_diff + crit * sd / sqrt(n), 6) + 0.0 AS ci_high FROM (

@@ -96,12 +96,16 @@ def paired_ancova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.paired_ancova(p, KEY, ["x"]))
 
 
-def detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection of fine features under two conditions over the full grid of samples."""
     m = views.measurements(spark, sf_dir, by_type=True)
     s = views.samples(spark, sf_dir).where("condition IN ('A', 'R') AND NOT is_control").select("sample_id", "condition")
     grid = m.select("assay_id").distinct().crossJoin(s).join(m.where("NOT below_lod").select("assay_id", "sample_id", "abundance"), ["assay_id", "sample_id"], "left")
-    return rounded(L.detectability(grid.withColumn("arm", F.when(F.col("condition") == "A", "a").otherwise("b")), ["assay_id"], "abundance", "arm"))
+    return L.detectability(grid.withColumn("arm", F.when(F.col("condition") == "A", "a").otherwise("b")), ["assay_id"], "abundance", "arm")
+
+
+def detectability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_detectability(spark, sf_dir))
 
 
 def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,3 +195,46 @@ def test_ratio_of_an_empty_side(spark):
     one = spark.createDataFrame([("A", "p1", 0.5), ("A", "p2", 0.7)], "condition string, subject_id string, log_ratio double")
     r = resample.ratio_test(one, "A", "B", 10, 1).collect()[0]
     assert (r["n_a"], r["n_b"], r["median_diff"]) == (2, 0, None)
+
+
+def test_dunnett_of_uneven_groups():
+    g = np.random.default_rng(6)
+    n = np.array([4.0, 9.0, 30.0])
+    share = n / (n + 12)
+    z0 = g.standard_normal((400_000, 1))
+    z = np.sqrt(1 - share) * g.standard_normal((400_000, 3)) + np.sqrt(share) * z0
+    scale = np.sqrt(g.chisquare(20, 400_000) / 20)
+    for q in (1.5, 2.3):
+        assert dist.pdunnett(q, 3, 20, share) == pytest.approx((np.abs(z).max(1) / scale <= q).mean(), abs=3e-3)
+    assert dist.pdunnett(2.0, 4, 15, np.full(4, 0.5)) == pytest.approx(dist.pdunnett(2.0, 4, 15), abs=1e-12)
+    assert dist.pdunnett(2.0, 1, 15, np.array([0.3])) == pytest.approx(1 - float(dist.t_two_sided(2.0, 15)), abs=1e-6)
+
+
+def test_moderated_f(spark):
+    g = np.random.default_rng(7)
+    rows = [(f"g{k}", c, float(g.normal(0, 1 + k % 3))) for k in range(30) for c in "abc" for _ in range(5)]
+    fits = L.f_fits(spark.createDataFrame(rows, "feature string, c string, v double"), "feature", "v", [], {"c": ["a", "b", "c"]}, "c")
+    plain = fits.toPandas().set_index("feature")
+    got = L.moderate_f(fits).toPandas().set_index("feature")
+    s0, d0 = L.prior(plain["s2"].to_numpy(), np.full(30, 12.0))
+    assert math.isfinite(d0)
+    for f, r in got.iterrows():
+        post = (d0 * s0 + 12 * plain.loc[f, "s2"]) / (d0 + 12)
+        want = plain.loc[f, "f"] * plain.loc[f, "s2"] / post
+        assert (r["f"], r["s2_post"], r["p_value"]) == pytest.approx((want, post, float(dist.f_sf(want, 2, 12 + d0))))
+
+
+def test_covariate_levels(spark):
+    s = spark.createDataFrame([("1", "x", "u"), ("2.5", "y", "u"), (" ", None, "u")], "age string, site string, one string")
+    assert L.covariate_levels(s, ["age", "site"]) == (["age"], {"site": ["x", "y"]})
+    for bad, why in (("one", "1 levels"), ("gone", "no column")):
+        with pytest.raises(ValueError, match=why):
+            L.covariate_levels(s, [bad])
+
+
+def test_leading_edge(spark):
+    ranked = spark.createDataFrame([("c", f"g{i:02d}", float(10 - i)) for i in range(20)], "comparison string, gene_symbol string, stat double")
+    sets = spark.createDataFrame([("top", f"g{i:02d}") for i in (0, 1, 3, 15)] + [("low", f"g{i:02d}") for i in (2, 17, 18, 19)] + [("all", f"g{i:02d}") for i in range(20)], "set_name string, gene_symbol string")
+    got = {r["set_name"]: r for r in resample.gsea(ranked, sets, ["comparison"], 250, 1).collect()}
+    assert set(got) == {"top", "low"} and got["top"]["leading_edge"] == "g00,g01,g03" and got["low"]["leading_edge"] == "g17,g18,g19"
+    assert got["top"]["es"] > 0 > got["low"]["es"] and all(0 < r["p_value"] <= r["q_value"] <= 1 for r in got.values())

@@ -140,3 +140,23 @@ def test_plans_and_tools(spark, tmp_path):
         runner.external(str(script), spark, {"t": t}, ["other"], str(tmp_path / "w"))
     with pytest.raises(RuntimeError, match="ended with 3"):
         runner.external(str(script), spark, {"u": t}, ["made"], str(tmp_path / "w2"))
+
+
+def test_annotations_are_kept(spark, tmp_path):
+    from assayloom.sources import annotations
+
+    sent = []
+
+    def post(endpoint, body):
+        sent.append(json.loads(body))
+        return json.dumps({"result": [{"source": "GO", "native": "T1", "name": "term", "p_value": 0.01}]})
+
+    told = {"background": ["a", "b", "c"], "endpoint": "http://nowhere", "cache": str(tmp_path / "kept"), "sources": ("GO",)}
+    found, digests = annotations.annotate(spark, {"up": ["b", "a"]}, post=post, **told)
+    assert [tuple(r) for r in found.collect()] == [("up", "GO", "T1", "term", 0.01)] and sent[0]["query"] == ["a", "b"]
+    again, same = annotations.annotate(spark, {"up": ["a", "b", "a"]}, post=post, offline=True, **told)
+    assert again.count() == 1 and same == digests and len(sent) == 1
+    with pytest.raises(FileNotFoundError, match="no answer"):
+        annotations.annotate(spark, {"up": ["c"]}, post=post, offline=True, **told)
+    with pytest.raises(ValueError, match="background"):
+        annotations.annotate(spark, {"up": ["c"]}, post=post, **(told | {"background": []}))
