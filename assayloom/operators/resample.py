@@ -90,11 +90,11 @@ def ratio_test(ratios: DataFrame, a: str, b: str, n: int, seed: int) -> DataFram
 
 
 def running_peak(hit: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Enrichment scores of rows of hit indicators along genes whose |stat| is `size`."""
+    """Enrichment scores of rows of hit indicators along genes whose |stat| is `size`; the first of equal peaks counts."""
     up = hit * size
     total, misses = up.sum(1, keepdims=True), (~hit).sum(1, keepdims=True)
     run = np.cumsum(np.where(hit, up / np.where(total > 0, total, 1), -1 / np.maximum(misses, 1)), 1)
-    at = np.abs(run).argmax(1)
+    at = np.round(np.abs(run), 12).argmax(1)
     return run[np.arange(len(run)), at]
 
 
@@ -111,7 +111,7 @@ def gsea(ranked: DataFrame, sets: DataFrame, by: list[str], n: int, seed: int) -
 
     def fit(key: tuple, rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         names = [*by, "set_name", "es", "nes", "p_value", "n_same_sign", "leading_edge"]
-        rows = rows.sort_values(["stat", "gene_symbol"], ascending=[False, True])
+        rows = rows.assign(stat=rows["stat"].round(10)).sort_values(["stat", "gene_symbol"], ascending=[False, True])  # sums differ by their order
         genes, size, out = rows["gene_symbol"], np.abs(rows["stat"].to_numpy(float)), []
         for name, own in members.groupby("set_name"):
             hit = genes.isin(set(own["gene_symbol"])).to_numpy()
@@ -130,7 +130,7 @@ def gsea(ranked: DataFrame, sets: DataFrame, by: list[str], n: int, seed: int) -
             p = (int((np.abs(same) >= abs(es) - 1e-12).sum()) + 1) / (len(same) + 1) if len(same) else 1 / (n + 1)
             nes = es / float(np.abs(same).mean()) if len(same) else None
             run = np.cumsum(np.where(hit, size / max(size[hit].sum(), 1e-300), -1 / (len(hit) - k)))
-            peak = int(np.abs(run).argmax())
+            peak = int(np.round(np.abs(run), 12).argmax())
             edge = genes[hit & (np.arange(len(hit)) <= peak if es > 0 else np.arange(len(hit)) > peak)]
             out.append([*key[:-1], name, es, nes, p, len(same), ",".join(edge)])
         return pd.DataFrame(out, columns=names)
