@@ -197,6 +197,17 @@ def test_bpe_is_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and own.decode(ids, 8) == t
 
 
+def test_words_and_white_space():
+    """What stands between spaces is looked up as a whole: against the library, with white space of all kinds around."""
+    ranks, enc = library()
+    own = bytebpe.ByteBpe(ranks, public_tokenizers.PATTERN, max_pieces=300, max_words=200)
+    r = random.Random(1)
+    parts = ["a", "B", "é", "'s", "'", " ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", "1", "٣", "!", ".", ",", ")", "中", "\r\n", "don't", "ß", "word", "½", "Ⅷ"]
+    for _ in range(20_000):
+        t = "".join(r.choice(parts) for _ in range(r.randrange(10)))
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == enc.encode_ordinary(t), t
+
+
 def test_stream_decoding():
     raw = "aé🙂日ß\u0301x".encode() * 3
     for size in (1, 2, 3, 5, 7):
