@@ -1,6 +1,8 @@
 """The driver of differential abundance, its overrides, plexes, ensembles and shrinkage, against plain arithmetic."""
 
+import itertools
 import math
+import random
 import statistics
 
 import numpy as np
@@ -160,6 +162,35 @@ def test_plexes(spark):
     assert (q["n_clusters"], q["n_singletons"], q["diagnostic"]) == (4, 1, "plex_coherent")  # members lack the same: an infinite ratio
 
 
+def absent_world(n: int, seed: int) -> tuple[dict, set]:
+    r = random.Random(seed)
+    seen = {f"s{i:02d}": {f"a{j:02d}" for j in range(30) if r.random() < 0.6} for i in range(n)}
+    seen |= {f"c{i:02d}": set(seen[f"s{i % 4:02d}"]) for i in range(9)}  # copies
+    return seen, set().union(*seen.values())
+
+
+def far(a: set, b: set, every: set) -> float:
+    p, q = every - a, every - b
+    return 1 - len(p & q) / len(p | q) if p | q else 0.0
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 50])
+def test_absence_pairs_over_any_limit(spark, monkeypatch, cells):
+    """All pairs, though they are more than check_edges() allows, in tiles of some ids and slices of some cells."""
+    monkeypatch.setattr(network.check_edges, "__defaults__", (1, 100))
+    monkeypatch.setattr(network, "TILE", 8, raising=False)
+    monkeypatch.setattr(network, "CELLS", cells, raising=False)
+    seen, every = absent_world(40, 3)
+    table = spark.createDataFrame([(s, a) for s, own in seen.items() for a in own], "sample_id string, assay_id string")
+    got = {(r["a"], r["b"]): (r["both"], r["distance"]) for r in network.absence_pairs(table, "sample_id", "assay_id", 5, 0.7).collect()}
+    want = {}
+    for a, b in itertools.combinations(sorted(seen), 2):
+        p, q = every - seen[a], every - seen[b]
+        if len(p) >= 5 and len(q) >= 5 and p & q and far(seen[a], seen[b], every) <= 0.7:
+            want[a, b] = (len(p & q), pytest.approx(far(seen[a], seen[b], every)))
+    assert got == want and len(got) > 200
+
+
 def test_inferred_pairs(spark):
     rows = [("a10", "A", "x"), ("a12", "A", "x"), ("b11", "B", "x"), ("b13", "B", "x"), ("a1", "A", "y"), ("b2", "B", "y"), ("c5", "C", "y")]
     s = spark.createDataFrame(rows, "sample_id string, condition string, plex string")
