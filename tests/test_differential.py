@@ -191,6 +191,32 @@ def test_absence_pairs_over_any_limit(spark, monkeypatch, cells):
     assert got == want and len(got) > 200
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.62, 1.0])
+def test_plexes_over_any_limit(spark, monkeypatch, threshold):
+    """Plexes and their mean distances in tiles of some classes; s99 has nothing, x00 no row among the samples."""
+    monkeypatch.setattr(network.check_edges, "__defaults__", (1, 100))
+    monkeypatch.setattr(network, "TILE", 8)
+    seen, every = absent_world(36, 5)
+    table = spark.createDataFrame([(s, a) for s, own in seen.items() for a in own] + [("x00", "a00")], "sample_id string, assay_id string")
+    seen["s99"] = set()
+    samples = spark.createDataFrame([(s,) for s in seen], "sample_id string")
+    found, means = plex.recover(table, "sample_id", "assay_id", samples, threshold)
+    root = {s: s for s in seen}
+    pairs = {(a, b): far(seen[a], seen[b], every) for a, b in itertools.combinations(sorted(seen), 2)}
+    for _ in seen:
+        for (a, b), d in pairs.items():
+            if d <= threshold:
+                root[a] = root[b] = min(root[a], root[b])
+    inside = {r: [d for (a, b), d in pairs.items() if root[a] == root[b] == r] for r in set(root.values())}
+    number = {r: i + 1 for i, r in enumerate(sorted(inside))}
+    want = {s: (number[r], list(root.values()).count(r), pytest.approx(np.mean(inside[r])) if inside[r] else None) for s, r in root.items()}
+    assert {r["sample_id"]: tuple(r)[1:] for r in found.collect()} == want
+    within, between = [d for v in inside.values() for d in v], [d for (a, b), d in pairs.items() if root[a] != root[b]]
+    q = plex.diagnosed(found, means, 10).collect()[0]
+    assert q["mean_within"] == pytest.approx(np.mean(within)) and (q["mean_between"] == pytest.approx(np.mean(between)) if between else q["mean_between"] is None)
+    assert (q["n_samples"], q["n_clusters"]) == (len(seen), len(number))
+
+
 def test_inferred_pairs(spark):
     rows = [("a10", "A", "x"), ("a12", "A", "x"), ("b11", "B", "x"), ("b13", "B", "x"), ("a1", "A", "y"), ("b2", "B", "y"), ("c5", "C", "y")]
     s = spark.createDataFrame(rows, "sample_id string, condition string, plex string")
