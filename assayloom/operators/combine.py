@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,11 +38,12 @@ def meta(effects: DataFrame, key: list[str]) -> DataFrame:
 
 
 def binomial_tail(k: F.Column, n: F.Column) -> F.Column:
-    """P(X >= k) of n fair trials, as a sum built upwards from the term of k."""
-    term = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.pow(F.lit(0.5), n), lambda a, i: F.when(i <= k, a * (n - i + 1) / i).otherwise(a))
+    """P(X >= k) of n fair trials, as a sum of terms whose logarithms are built upwards from that of k: 0.5^n itself is
+    zero from 1,075 trials on."""
+    first = F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), n * F.lit(math.log(0.5)), lambda a, i: F.when(i <= k, a + F.ln((n - i + 1) / i)).otherwise(a))
     tail = F.aggregate(
-        F.sequence(k, F.greatest(n, k)), F.struct(F.lit(0.0).alias("s"), term.alias("t")),
-        lambda a, i: F.struct((a["s"] + a["t"]).alias("s"), (a["t"] * (n - i) / (i + 1)).alias("t")), lambda a: a["s"],
+        F.sequence(k, F.greatest(n, k)), F.struct(F.lit(0.0).alias("s"), first.alias("t")),
+        lambda a, i: F.struct((a["s"] + F.exp(a["t"])).alias("s"), (a["t"] + F.ln((n - i) / (i + 1))).alias("t")), lambda a: a["s"],
     )
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail))
 

@@ -248,6 +248,15 @@ def test_stratified_draws(spark):
     assert len(got) == 1 and got[0]["effect"] == pytest.approx(1.001) and got[0]["ci_low"] <= 1.001 <= got[0]["ci_high"]
 
 
+def test_sign_tail_of_many_trials(spark):
+    from assayloom.operators.combine import binomial_tail
+
+    cases = [(2652, 5370), (2520, 5370), (0, 1200), (1200, 1200), (3, 4), (0, 0)]
+    got = spark.createDataFrame(cases, "k int, n int").select(binomial_tail(F.col("k"), F.col("n")).alias("p")).collect()
+    for (k, n), r in zip(cases, got, strict=True):
+        assert r["p"] == pytest.approx(sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n, abs=1e-9)
+
+
 def test_ratio_of_an_empty_side(spark):
     one = spark.createDataFrame([("A", "p1", 0.5), ("A", "p2", 0.7)], "condition string, subject_id string, log_ratio double")
     r = resample.ratio_test(one, "A", "B", 10, 1).collect()[0]
