@@ -22,6 +22,37 @@ def sign_stability(point: float, draws: np.ndarray) -> float:
     return float(np.mean(np.sign(draws) == np.sign(point)))
 
 
+def draws_of(n: int, size: int, cells: int = 1_000_000) -> list[int]:
+    """n draws of some size as numbers of draws that are made at once, of `cells` values together where one has fewer.
+    Rows of a stream's matrix come in order, so draws don't depend on the parts."""
+    step = max(1, cells // max(size, 1))
+    return [min(step, n - at) for at in range(0, n, step)]
+
+
+def drawn(g: np.random.Generator, v: np.ndarray, n: int, statistic) -> np.ndarray:
+    """A statistic of n draws of the values with replacement."""
+    return np.concatenate([statistic(v[g.integers(0, len(v), (m, len(v)))], 1) for m in draws_of(n, len(v))])
+
+
+def flipped_t(g: np.random.Generator, d: np.ndarray, n: int) -> np.ndarray:
+    """The paired t of n draws of the differences' signs."""
+    out, k = [], len(d)
+    for m in draws_of(n, k):
+        x = g.choice([-1.0, 1.0], (m, k)) * d
+        sd = x.std(1, ddof=1)
+        out.append(x.mean(1) / np.where(sd > 0, sd / np.sqrt(k), np.inf))
+    return np.concatenate(out)
+
+
+def mixed_medians(g: np.random.Generator, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Differences of medians of n deals of all values to sides of the same sizes."""
+    both, out = np.concatenate([x, y]), []
+    for m in draws_of(n, len(both)):
+        mixed = both[np.argsort(g.random((m, len(both))), 1)]
+        out.append(np.median(mixed[:, : len(x)], 1) - np.median(mixed[:, len(x) :], 1))
+    return np.concatenate(out)
+
+
 def null_calibration(pair_rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """Sign-flip null of the paired t per feature: observed t, empirical p (c + 1) / (n + 1)."""
 
@@ -78,11 +109,8 @@ def ratio_test(ratios: DataFrame, a: str, b: str, n: int, seed: int) -> DataFram
             return pd.DataFrame([{"n_a": len(x), "n_b": len(y), "median_diff": None, "ci_low": None, "ci_high": None, "permutation_p": None}])
         g = stream(seed, a, b)
         point = float(np.median(x) - np.median(y))
-        draws = np.median(x[g.integers(0, len(x), (n, len(x)))], 1) - np.median(y[g.integers(0, len(y), (n, len(y)))], 1)
-        both = np.concatenate([x, y])
-        order = np.argsort(g.random((n, len(both))), 1)
-        mixed = both[order]
-        null = np.median(mixed[:, : len(x)], 1) - np.median(mixed[:, len(x) :], 1)
+        draws = drawn(g, x, n, np.median) - drawn(g, y, n, np.median)
+        null = mixed_medians(g, x, y, n)
         p = (int((np.abs(null) >= abs(point) - 1e-12).sum()) + 1) / (n + 1)
         return pd.DataFrame([{"n_a": len(x), "n_b": len(y), "median_diff": point, "ci_low": nearest(draws, 0.025), "ci_high": nearest(draws, 0.975), "permutation_p": p}])
 

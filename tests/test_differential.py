@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import statistics
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -248,6 +249,30 @@ def test_stratified_draws(spark):
     assert len(got) == 1 and got[0]["effect"] == pytest.approx(1.001) and got[0]["ci_low"] <= 1.001 <= got[0]["ci_high"]
 
 
+def peak_of(run) -> tuple[float, object]:
+    tracemalloc.start()
+    try:
+        out = run()
+        return tracemalloc.get_traced_memory()[1] / 1e6, out
+    finally:
+        tracemalloc.stop()
+
+
+def test_draws_of_many_subjects(monkeypatch):
+    """Draws in parts are those of one matrix, and take no more memory for more of them."""
+    g, v, w = (lambda: np.random.default_rng(8)), np.random.default_rng(1).normal(size=301), np.random.default_rng(2).normal(size=150)
+    whole = lambda: np.concatenate([v, w])[np.argsort(g().random((200, 451)), 1)]
+    flips = g().choice([-1.0, 1.0], (200, 301)) * v
+    want = [np.median(v[g().integers(0, 301, (200, 301))], 1), flips.mean(1) / (flips.std(1, ddof=1) / np.sqrt(301)), np.median(whole()[:, :301], 1) - np.median(whole()[:, 301:], 1)]
+    monkeypatch.setattr(resample.draws_of, "__defaults__", (1000,))
+    got = [resample.drawn(g(), v, 200, np.median), resample.flipped_t(g(), v, 200), resample.mixed_medians(g(), v, w, 200)]
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    monkeypatch.undo()
+    big = np.arange(100_000.0)
+    for run in (lambda: resample.drawn(g(), big, 60, np.mean), lambda: resample.flipped_t(g(), big, 60), lambda: resample.mixed_medians(g(), big, big, 60)):
+        assert peak_of(run)[0] < 60
+
+
 def test_sign_tail_of_many_trials(spark):
     from assayloom.operators.combine import binomial_tail
 
