@@ -63,9 +63,7 @@ def null_calibration(pair_rows: DataFrame, keys: list[str], n: int, seed: int) -
         k = len(d)
         if k < 3 or d.std(ddof=1) == 0:
             return pd.DataFrame(columns=names)
-        draws = stream(seed, *key).choice([-1.0, 1.0], (n, k)) * d
-        sd = draws.std(1, ddof=1)
-        t = draws.mean(1) / np.where(sd > 0, sd / np.sqrt(k), np.inf)
+        t = flipped_t(stream(seed, *key), d, n)
         t0 = d.mean() / (d.std(ddof=1) / np.sqrt(k))
         p = (int((np.abs(t) >= abs(t0) - 1e-12).sum()) + 1) / (n + 1)
         return pd.DataFrame([[*key, k, t0, p, int((dist.t_two_sided(t, k - 1) < 0.05).sum())]], columns=names)
