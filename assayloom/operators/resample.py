@@ -78,7 +78,7 @@ def bootstrap_pairs(pair_rows: DataFrame, keys: list[str], n: int, seed: int, le
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         d = rows.sort_values("subject_id")["d"].to_numpy(float)
-        draws = d[stream(seed, *key).integers(0, len(d), (n, len(d)))].mean(1)
+        draws = drawn(stream(seed, *key), d, n, np.mean)
         tail = (1 - level) / 2
         values = [len(d), d.mean(), nearest(draws, tail), nearest(draws, 1 - tail), sign_stability(d.mean(), draws)]
         return pd.DataFrame([[*key, *values]], columns=[*keys, "n_pairs", "effect", "ci_low", "ci_high", "sign_stability"])
