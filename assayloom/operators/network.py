@@ -97,18 +97,23 @@ def rewiring(edges: DataFrame, modules: DataFrame, cohort: str) -> DataFrame:
     return per.withColumn("sd_over_cohorts", F.stddev_samp("mean_abs_r").over(W.partitionBy("module")))
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, root) of undirected edges (a, b): least labels spread and jump until nothing changes.
-
-    Labels are checkpointed each round in the folder that spark.checkpoint.dir names (on one machine a temporary one where unset).
-    """
-    sc = edges.sparkSession.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that spark.checkpoint.dir names (on one machine a temporary one where unset)."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assayloom-"))
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct().checkpoint()
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """(node, root) of undirected edges (a, b): least labels spread and jump until nothing changes.
+
+    Labels are checkpointed each round.
+    """
+    both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct())
     labels = both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("root")).checkpoint()
     for _ in range(max_rounds):
         seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank
+from .network import checkpointed
 
 NUMBERLESS = ("", "na", "nan")
 
@@ -69,10 +70,37 @@ def absolute_scale(df: DataFrame, total: str, value: str = "abundance") -> DataF
     return df.where(F.col(total) > 0).withColumn("scaled", F.col(value) - F.log2(linear) + F.log2(total))
 
 
+BUCKET = 20_000
+
+
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """df with average_rank(value, *by) as `name`, by buckets of values: the ranks in a bucket and how many values the lower
+    ones of its group have. Groups have a bucket of equal width for each BUCKET values, so a task needn't hold a group.
+
+    df is read more than once, and the same values must come each time: checkpoint what sums make.
+    """
+    x = F.col(value)
+    proper = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    ends = df.groupBy(*by).agg(F.min(proper).alias("_low"), F.max(proper).alias("_high"), F.ceil(F.count("*") / BUCKET).alias("_n"))
+    share = F.try_divide(x - F.col("_low"), F.col("_high") - F.col("_low"))
+    place = F.when(proper.isNotNull() & ~F.isnan(share), F.least(F.floor(share * F.col("_n")), F.col("_n") - 1))
+    placed = F.when(F.isnan(x), F.col("_n") + 1).when(x == float("inf"), F.col("_n")).when(x == float("-inf"), F.lit(-1)).otherwise(F.coalesce(place, F.lit(0)))
+    dealt = df.join(ends.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)}), [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]) if by else df.crossJoin(ends)
+    dealt = dealt.withColumn("_bucket", placed.cast("bigint")).select(*df.columns, "_bucket")
+    sizes = dealt.groupBy(*by, "_bucket").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lower = sizes.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_bucket").alias("_b"), before.alias("_before"))
+    ranked = dealt.withColumn("_rank", average_rank(value, *by, "_bucket"))
+    both = ranked.join(lower, [*(F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)), F.col("_bucket") == F.col("_b")])
+    return both.select(*df.columns, (F.col("_rank") + F.col("_before")).alias(name))
+
+
 def within_cohort_rank(df: DataFrame, by: list[str], value: str = "abundance", dropped: str = "dropped_by_qc") -> DataFrame:
-    """Average-tie ranks of the kept cells of each assay as `rank_value`; masked rows pass with their own value."""
+    """Average-tie ranks of the kept cells of each assay as `rank_value`; masked rows pass with their own value. df is
+    checkpointed, as average_ranks() needs it: select what is wanted before."""
+    df = checkpointed(df)
     ok = F.col(value).isNotNull() & ~F.coalesce(F.col(dropped), F.lit(False))
-    kept = df.where(ok).withColumn("rank_value", average_rank(value, *by).cast("double"))
+    kept = average_ranks(df.where(ok), by, value, "rank_value").withColumn("rank_value", F.col("rank_value").cast("double"))
     return kept.unionByName(df.where(~ok).withColumn("rank_value", F.col(value)))
 
 

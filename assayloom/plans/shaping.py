@@ -100,7 +100,8 @@ def absolute_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def within_cohort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(N.within_cohort_rank(views.measurements(spark, sf_dir), ["assay_id"]).select("sample_id", "assay_id", "rank_value"))
+    m = views.measurements(spark, sf_dir).select("sample_id", "assay_id", "abundance", "dropped_by_qc")
+    return rounded(N.within_cohort_rank(m, ["assay_id"]).select("sample_id", "assay_id", "rank_value"))
 
 
 def centred_log_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,17 @@
 
 import json
 import math
+import random
 from datetime import UTC, datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayloom.functions import dist
+from assayloom.functions import columns, dist
 from assayloom.functions.expressions import column, design_terms
 from assayloom.functions.rng import splitmix, stream, sub_seed
-from assayloom.operators import checks, decompose, linear, network
+from assayloom.operators import checks, decompose, linear, network, normalise
 from assayloom.plans import runner
 from assayloom.sources import tables
 from assayloom.streaming import ingest
@@ -258,3 +259,18 @@ def test_stream(spark, tmp_path):
     q = ingest.write_batches(ingest.stream_files(spark, str(tmp_path / "in"), schema).where("value > 0"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(str(tmp_path / "in")).where("value > 0").count()
+
+
+def test_ranks_by_buckets(spark, monkeypatch):
+    """Ranks by buckets are those of one window, and no window has a whole group."""
+    monkeypatch.setattr(normalise, "BUCKET", 5)
+    r = random.Random(4)
+    odd = [float("nan"), float("inf"), float("-inf"), 0.0, 1e308, -1e308]
+    rows = [(i, k, v) for k in ("a", "b", None) for i, v in enumerate([r.gauss(0, 1) for _ in range(40)] + [r.choice([0.25, 0.5, 2.0]) for _ in range(30)])]
+    rows += [(i, "odd", v) for i, v in enumerate(odd * 3)] + [(i, "same", 3.0) for i in range(12)] + [(0, "one", 1.0)]
+    x = spark.createDataFrame(rows, "i int, k string, v double")
+    want = x.withColumn("r", columns.average_rank("v", "k"))
+    found = normalise.average_ranks(x, ["k"], "v", "r")
+    key = lambda row: (row["i"], str(row["k"]))
+    assert [(key(a), a["r"]) for a in sorted(found.collect(), key=key)] == [(key(a), a["r"]) for a in sorted(want.collect(), key=key)]
+    assert "_bucket" in found._jdf.queryExecution().optimizedPlan().toString().split("rank(", 1)[1].split("\n")[0]
