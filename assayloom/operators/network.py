@@ -175,7 +175,7 @@ def absence_distances(observed: DataFrame, axis: str, other: str, every: DataFra
     a task for each pair of tiles of TILE ids, so memory doesn't grow with them; what a pair of tiles has over CELLS cells
     is counted in slices of `other` and summed.
     """
-    seen = observed.select(F.col(axis).alias("x"), F.col(other).alias("y")).distinct()
+    seen = checkpointed(observed.select(F.col(axis).alias("x"), F.col(other).alias("y")).distinct())  # it is read several times
     ids = seen.select("x").distinct() if every is None else every.select(F.col(axis).alias("x")).distinct()
     total = seen.select("y").distinct().count()
     sizes = ids.join(seen.groupBy("x").agg(F.count("*").alias("n")), "x", "left").select("x", F.coalesce("n", F.lit(0)).alias("n"))
